@@ -36,30 +36,26 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
     g = g.withColumn("_br", F.array(*[F.struct(lo[i].alias("lo"), hi[i].alias("hi")) for i in range(k)])) \
         .drop("_q", "_min", "_max")
     rows = attach(v, g, keys, size=size, pos=pos)
-    below = rows.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        *[F.sum(F.when(F.col("_v") < F.col("_br")[i]["lo"], 1).otherwise(0)).alias(f"_b{i}") for i in range(k)])
-    inside = (rows.select(*keys, "_v", F.posexplode("_br").alias("_i", "_r"))
-              .where((F.col("_v") >= F.col("_r.lo")) & (F.col("_v") <= F.col("_r.hi")))
-              .withColumn("_sub", F.when(F.col("_r.hi") > F.col("_r.lo"), F.least(F.lit(SUB_BUCKETS - 1), F.floor(
-                  (F.col("_v") - F.col("_r.lo")) / (F.col("_r.hi") - F.col("_r.lo")) * SUB_BUCKETS))).otherwise(0))
-              .groupBy(*keys, "_i", "_sub", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    r, low = F.col("_r"), F.col("_v") < F.col("_r.lo")
+    sub = F.when(low, F.lit(-1)).when(r["hi"] > r["lo"], F.least(F.lit(SUB_BUCKETS - 1), F.floor(
+        (F.col("_v") - r["lo"]) / (r["hi"] - r["lo"]) * SUB_BUCKETS))).otherwise(F.lit(0)).cast("int")
+    # Everything below the bracket collapses into one count; values above it are not needed.
+    inside = (rows.select(*keys, "_v", "_n", F.posexplode("_br").alias("_i", "_r")).where(F.col("_v") <= F.col("_r.hi"))
+              .select(*keys, "_i", "_n", sub.alias("_sub"), F.when(~low, F.col("_v")).alias("_v"))
+              .groupBy(*keys, "_i", "_sub", "_v").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")))
     per_sub = inside.groupBy(*keys, "_i", "_sub").agg(F.sum("_c").alias("_t"))
     prev = Window.partitionBy(*keys, "_i").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     per_sub = per_sub.withColumn("_off", F.coalesce(F.sum("_t").over(prev), F.lit(0))).drop("_t")
     run = Window.partitionBy(*keys, "_i", "_sub").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (inside.withColumn("_cum", F.sum("_c").over(run)).join(per_sub, [*keys, "_i", "_sub"])
-           .withColumn("_end", F.col("_cum") + F.col("_off")).withColumn("_beg", F.col("_end") - F.col("_c")))
-    base = F.expr("CASE _i " + " ".join(f"WHEN {i} THEN _b{i}" for i in range(k)) + " END")
-    prob = F.expr("CASE _i " + " ".join(f"WHEN {i} THEN {p!r}D" for i, (_, p) in enumerate(ps)) + " END")
-    ranked = (cum.join(below, keys)
-              .withColumn("_at", prob * (F.col("_n") - 1))
-              .withColumn("_beg", F.col("_beg") + base).withColumn("_end", F.col("_end") + base))
-    f, c = F.floor("_at"), F.ceil("_at")
-    holds = lambda r: (F.col("_beg") <= r) & (r < F.col("_end"))
-    per = ranked.groupBy(*keys, "_i").agg(
-        F.max(F.when(holds(f), F.col("_v"))).alias("_lo"), F.max(F.when(holds(c), F.col("_v"))).alias("_hi"),
-        F.first("_at").alias("_at"))
-    val = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
-    per = per.withColumn("_p", val)
-    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(n) for i, (n, _) in enumerate(ps)])
+    prob = F.array(*[F.lit(p) for _, p in ps])[F.col("_i")]
+    ranked = (inside.withColumn("_cum", F.sum("_c").over(run)).join(per_sub, [*keys, "_i", "_sub"])
+              .withColumn("_end", F.col("_cum") + F.col("_off")).withColumn("_beg", F.col("_end") - F.col("_c"))
+              .withColumn("_at", prob * (F.col("_n") - 1)))
+    holds = lambda rank: (F.col("_beg") <= rank) & (rank < F.col("_end"))
+    value_at = lambda i, rank: F.max(F.when((F.col("_i") == i) & holds(rank), F.col("_v")))
+    per = ranked.groupBy(*keys).agg(*[x for i in range(k) for x in (
+        value_at(i, F.floor("_at")).alias(f"_lo{i}"), value_at(i, F.ceil("_at")).alias(f"_hi{i}"),
+        F.max(F.when(F.col("_i") == i, F.col("_at"))).alias(f"_at{i}"))])
+    at = lambda i: F.col(f"_at{i}") - F.floor(f"_at{i}")
+    return per.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * at(i)).alias(n)
+                               for i, (n, _) in enumerate(ps)])

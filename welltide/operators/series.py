@@ -53,7 +53,7 @@ def halo(df: DataFrame, before: int, after: int, size: int, pos: str = "pos") ->
         raise ValueError("halo wider than a chunk")
     first = F.greatest(F.lit(0), F.floor((F.col(pos) - after) / F.lit(size)))
     last = F.floor((F.col(pos) + before) / F.lit(size))
-    return (df.withColumn("_chunk", F.explode(F.sequence(first, last)).cast("long"))
+    return (df.withColumn("_chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
             .withColumn("_own", F.col("_chunk") == chunk_of(pos, size)))
 
 
