@@ -87,9 +87,11 @@ def depth_correlations(wide: DataFrame, key: str, x: str, channels: list[str], b
 def pair_correlations(df: DataFrame, keys: Sequence[str], channels: list[str]) -> DataFrame:
     """Long table of correlations of all channel pairs in one aggregation (partial sums before the shuffle)."""
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1:]]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = g.unpivot([*keys, "n"], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    return long.select(*keys, F.split("pair", r"\|")[0].alias("channel_a"), F.split("pair", r"\|")[1].alias("channel_b"), "n", "r")
+    both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
+    g = df.groupBy(*keys).agg(*[x for a, b in pairs for x in (F.corr(a, b).alias(f"r|{a}|{b}"), both(a, b).alias(f"n|{a}|{b}"))])
+    rows = F.array(*[F.struct(F.lit(a).alias("channel_a"), F.lit(b).alias("channel_b"), F.col(f"n|{a}|{b}").alias("n"),
+                              F.col(f"r|{a}|{b}").alias("r")) for a, b in pairs])
+    return g.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*")
 
 
 def merge_files(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
