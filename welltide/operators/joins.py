@@ -30,7 +30,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
     inside = Window.partitionBy(*keys, "_bk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     after = inside.rowsBetween(1, Window.unboundedFollowing)
-    out = d.join(edge, [*keys, "_bk"])
+    out = d.join(edge.hint("shuffle_hash"), [*keys, "_bk"])
     cols = {}
     for p in payloads:
         cols[f"{p}_prev"] = F.coalesce(F.last(p, ignorenulls=True).over(upto), F.col(f"_a_{p}"))

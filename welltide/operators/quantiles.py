@@ -48,7 +48,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
     per_sub = per_sub.withColumn("_off", F.coalesce(F.sum("_t").over(prev), F.lit(0))).drop("_t")
     run = Window.partitionBy(*keys, "_i", "_sub").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     prob = F.array(*[F.lit(p) for _, p in ps])[F.col("_i")]
-    ranked = (inside.withColumn("_cum", F.sum("_c").over(run)).join(per_sub, [*keys, "_i", "_sub"])
+    ranked = (inside.withColumn("_cum", F.sum("_c").over(run)).join(per_sub.hint("shuffle_hash"), [*keys, "_i", "_sub"])
               .withColumn("_end", F.col("_cum") + F.col("_off")).withColumn("_beg", F.col("_end") - F.col("_c"))
               .withColumn("_at", prob * (F.col("_n") - 1)))
     holds = lambda rank: (F.col("_beg") <= rank) & (rank < F.col("_end"))

@@ -24,7 +24,8 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """0-based row number per key, in ``order``.
 
     ``bucket`` is any non-decreasing function of the order (a day, a key range). Rows are numbered inside
-    (key, bucket) and shifted by the number of rows in earlier buckets.
+    (key, bucket) and shifted by the number of rows in earlier buckets. The rows are already partitioned for the
+    numbering, so the shifts join by hash on the same partitioning.
     """
     keys = list(keys)
     b = df.withColumn("_b", bucket)
@@ -33,7 +34,7 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
              .withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     return (b.withColumn("_rn", F.row_number().over(inside))
-            .join(shift, [*keys, "_b"])
+            .join(shift.hint("shuffle_hash"), [*keys, "_b"])
             .withColumn(name, (F.col("_rn") - 1 + F.col("_off")).cast("long"))
             .drop("_b", "_rn", "_off"))
 
@@ -104,7 +105,8 @@ def carry(df: DataFrame, keys: Sequence[str], last: dict[str, Column] | None = N
     cw = chunk_window(keys, pos)
     upto = cw.rowsBetween(Window.unboundedPreceding, 0)
     after = cw.rowsBetween(1, Window.unboundedFollowing)
-    out = d.join(summary, [*keys, "_chunk"])
+    # The rows must be partitioned by (key, chunk) for their windows anyway; a hash join there adds no sort.
+    out = d.join(summary.hint("shuffle_hash"), [*keys, "_chunk"])
     cols = {n: F.coalesce(F.last(f"_s_{n}", ignorenulls=True).over(upto), F.col(f"_p_{n}")) for n in last}
     cols |= {n: F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)) + F.col(f"_p_{n}") for n in total}
     cols |= {n: F.coalesce(F.first(f"_s_{n}", ignorenulls=True).over(after), F.col(f"_p_{n}")) for n in following}

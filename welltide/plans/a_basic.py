@@ -123,7 +123,7 @@ def q_to_wide(spark, sf):
 
 
 @query("sentinel_cleanup", """SELECT l_suppkey AS well_id, sum(CASE WHEN l_discount = 0.05 THEN 1 ELSE 0 END) AS nulled,
- avg(CASE WHEN l_discount = 0.05 THEN NULL ELSE l_quantity END) AS mean_clean FROM lineitem GROUP BY 1""", dbl="mean_clean")
+ avg(CASE WHEN l_discount = 0.05 THEN NULL ELSE l_quantity END) AS mean_clean FROM lineitem GROUP BY 1""", dbl="mean_clean", whole="nulled")
 def q_sentinel(spark, sf):
     # A recorder writes -999.25 for a missing sample; rows with a 5 % discount play that part here.
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("well_id"), F.when(
@@ -195,7 +195,7 @@ def q_census(spark, sf):
  p AS (SELECT well_id, channel, count(*) n, count(v) nv FROM l GROUP BY 1, 2)
  SELECT well_id, count(*) AS n_channels, sum(n) AS total_measurements, sum(n - nv) AS n_missing,
   round(1.0::DOUBLE - sum(n - nv) / sum(n), 4) AS quality_score, round(1.0::DOUBLE - sum(n - nv) / sum(n), 4) < 0.5 AS poor FROM p GROUP BY 1""",
-       dbl="quality_score")
+       dbl="quality_score", whole="n_missing total_measurements")
 def q_quality(spark, sf):
     l = wide_long(spark, sf, ["rop", "rpm", "flow_in", "wob"])
     return S.quality_summary(l.withColumn("v", F.when(F.col("v") >= 5, F.col("v"))))
@@ -204,7 +204,7 @@ def q_quality(spark, sf):
 @query("null_counts", f"""WITH {WIDE_SQL}, {long_sql(['rop', 'rpm', 'torque', 'wob'])},
  l AS (SELECT well_id, channel, CASE WHEN v < 2 THEN NULL ELSE v END AS v FROM long),
  p AS (SELECT well_id, channel, count(*) - count(v) AS n_null FROM l GROUP BY 1, 2)
- SELECT well_id, sum((n_null = 0)::INT) AS clean_channels, sum((n_null > 0)::INT) AS channels_with_nulls, sum(n_null) AS null_samples FROM p GROUP BY 1""")
+ SELECT well_id, sum((n_null = 0)::INT) AS clean_channels, sum((n_null > 0)::INT) AS channels_with_nulls, sum(n_null) AS null_samples FROM p GROUP BY 1""", whole="channels_with_nulls clean_channels null_samples")
 def q_nulls(spark, sf):
     l = wide_long(spark, sf, ["rop", "rpm", "torque", "wob"])
     return S.null_counts(l.withColumn("v", F.when(F.col("v") >= 2, F.col("v"))))
@@ -227,7 +227,7 @@ def q_stick(spark, sf):
  g AS (SELECT *, CASE WHEN err < 0.1 THEN 4.0 WHEN err < 1 THEN 3.7 WHEN err < 5 THEN 3.0 WHEN err < 10 THEN 2.0 ELSE 0 END::DOUBLE AS p FROM e)
  SELECT well_id, count(*) AS n_cases, sum((p > 0)::INT) AS n_passed, max(err) AS max_error_pct, avg(p) AS score,
   CASE WHEN min(p) = 0 THEN 'F' WHEN avg(p) >= 3.9 THEN 'A+' WHEN avg(p) >= 3.5 THEN 'A' WHEN avg(p) >= 2.5 THEN 'B' WHEN avg(p) >= 1.5 THEN 'C' ELSE 'F' END AS grade
- FROM g GROUP BY 1""", dbl="max_error_pct score")
+ FROM g GROUP BY 1""", dbl="max_error_pct score", whole="n_passed")
 def q_grade(spark, sf):
     w = drill_wide(spark, sf)
     c = w.select("well_id", F.col("mud_weight").alias("expected"), (F.col("mud_weight") * (1 + F.col("wob") / 1000)).alias("actual"))

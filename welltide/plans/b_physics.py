@@ -228,14 +228,14 @@ def q_page_geo(spark, sf):
         F.avg(clip(c("bi") * 0.7 + (F.lit(1.0) - c("gamma_ray") / g) * 0.3, 0, 1)).alias("mean_fracability"))
 
 
-@query("stability_window", f"""{W}, s AS (SELECT well_id, pos, depth_tvd, 0.052 * 16.33 * depth_tvd AS sv, 0.45 * depth_tvd AS pp, 200.037 * wob AS ucs FROM wide),
+@query("stability_window", f"""{W}, s AS (SELECT well_id, pos, depth_tvd, 0.052 * 16.33 * depth_tvd AS sv, 0.451237 * depth_tvd AS pp, 200.03713 * wob AS ucs FROM wide),
  h AS (SELECT *, 0.25 / 0.75 * (sv - pp) + pp AS shmin FROM s), k AS (SELECT *, (sv + shmin) / 2 AS shmax FROM h),
  p AS (SELECT *, greatest(3 * shmax - shmin - pp - ucs, pp) AS bo, 3 * shmin - shmax - pp + ucs / 10 AS fr FROM k)
  SELECT well_id, pos, shmin, round(bo, 1) AS breakout_psi, round(fr, 1) AS fracture_psi, round(greatest(bo, pp) / (0.052 * depth_tvd), 2) AS safe_mw_min,
  round(fr / (0.052 * depth_tvd), 2) AS safe_mw_max, fr - greatest(bo, pp) > 0 AS is_stable FROM p""", dbl="shmin breakout_psi:1 fracture_psi:1 safe_mw_min:2 safe_mw_max:2")
 def q_stab(spark, sf):
     tvd = c("depth_tvd")
-    d = drill_wide(spark, sf).withColumns({"sv": R.overburden(tvd), "pp": F.lit(0.45) * tvd, "ucs": F.lit(200.037) * c("wob")})
+    d = drill_wide(spark, sf).withColumns({"sv": R.overburden(tvd), "pp": F.lit(0.451237) * tvd, "ucs": F.lit(200.03713) * c("wob")})
     d = d.withColumn("shmin", R.min_horizontal_stress(c("sv"), c("pp")))
     return d.withColumns(R.stability_window(tvd, c("pp"), c("sv"), c("shmin"), c("ucs"))) \
         .select("well_id", "pos", "shmin", "breakout_psi", "fracture_psi", "safe_mw_min", "safe_mw_max", "is_stable")

@@ -120,12 +120,12 @@ def q_chealth(spark, sf):
     return A.channel_health(assigned(spark, sf), alerts(spark, sf))
 
 
-@query("domain_health", f"WITH {HEALTH} SELECT * FROM dom", dbl="score:1")
+@query("domain_health", f"WITH {HEALTH} SELECT * FROM dom", dbl="score:1", whole="alert_count")
 def q_dhealth(spark, sf):
     return A.domain_health(A.channel_health(assigned(spark, sf), alerts(spark, sf)))
 
 
-@query("system_health", f"WITH {HEALTH} SELECT well_id, round(avg(score), 1) AS score, CASE WHEN avg(score) >= 80 THEN 'green' WHEN avg(score) >= 50 THEN 'yellow' ELSE 'red' END AS status, count(*) AS domain_count, sum(alert_count) AS total_alerts FROM dom GROUP BY 1", dbl="score:1")
+@query("system_health", f"WITH {HEALTH} SELECT well_id, round(avg(score), 1) AS score, CASE WHEN avg(score) >= 80 THEN 'green' WHEN avg(score) >= 50 THEN 'yellow' ELSE 'red' END AS status, count(*) AS domain_count, sum(alert_count) AS total_alerts FROM dom GROUP BY 1", dbl="score:1", whole="total_alerts")
 def q_shealth(spark, sf):
     return A.system_health(A.domain_health(A.channel_health(assigned(spark, sf), alerts(spark, sf))))
 
@@ -282,7 +282,7 @@ def q_rec(spark, sf):
 
 
 @query("zone_summary", f"""WITH {REC_SQL} SELECT well_id, count(*) AS n_zones, sum((classification = 'high_potential')::INT) AS n_high_potential, sum((classification = 'fractured')::INT) AS n_fractured, sum((classification = 'depleted')::INT) AS n_depleted,
- max(bottom_md) - min(top_md) AS lateral_ft, sum(CASE WHEN skip THEN 0 ELSE clusters * proppant_lbs END) AS proppant_lbs FROM rec GROUP BY 1""", dbl="lateral_ft proppant_lbs:1")
+ max(bottom_md) - min(top_md) AS lateral_ft, sum(CASE WHEN skip THEN 0 ELSE clusters * proppant_lbs END) AS proppant_lbs FROM rec GROUP BY 1""", dbl="lateral_ft proppant_lbs:1", whole="n_depleted n_fractured n_high_potential")
 def q_zsum(spark, sf):
     return Z.zone_summary(Z.recommend(merged(spark, sf)))
 
@@ -361,6 +361,6 @@ def q_v4(spark, sf):
     return V.quality_checks(qual_wide(spark, sf), QC)
 
 
-@query("validation_report", f"WITH {SURVEY}, {PRESS_SQL}, {GRAD_SQL}, {SV_SQL}, {QUAL_SQL} SELECT well_id, count(*) AS n_checks, sum(passed::INT) AS n_passed FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT * FROM v4) GROUP BY 1")
+@query("validation_report", f"WITH {SURVEY}, {PRESS_SQL}, {GRAD_SQL}, {SV_SQL}, {QUAL_SQL} SELECT well_id, count(*) AS n_checks, sum(passed::INT) AS n_passed FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT * FROM v4) GROUP BY 1", whole="n_passed")
 def q_v5(spark, sf):
     return V.report(V.pressure_checks(valid_wide(spark, sf)), V.gradient_checks(valid_wide(spark, sf)), V.survey_checks(surveys(spark, sf)), V.quality_checks(qual_wide(spark, sf), QC))

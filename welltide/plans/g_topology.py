@@ -304,7 +304,7 @@ def zones(spark, sf):
     return C.coherence_zones(windows(spark, sf), LEVEL)
 
 
-@query("coherence_zones", f"WITH {WIN}, {ZON} SELECT * FROM cz", dbl="top bottom coherence_mean")
+@query("coherence_zones", f"WITH {WIN}, {ZON} SELECT * FROM cz", dbl="top bottom coherence_mean", whole="waypoints")
 def q_zones(spark, sf):
     return zones(spark, sf)
 
@@ -345,7 +345,7 @@ def q_cmp(spark, sf):
  ip AS (SELECT g.*, w AS side, (SELECT max_by(coherence, centre) FROM wc WHERE well_id = w AND centre <= x) AS v0, (SELECT max(centre) FROM wc WHERE well_id = w AND centre <= x) AS x0, (SELECT min_by(coherence, centre) FROM wc WHERE well_id = w AND centre > x) AS v1, (SELECT min(centre) FROM wc WHERE well_id = w AND centre > x) AS x1
    FROM g, (SELECT unnest([0, 1]) AS s) s, LATERAL (SELECT CASE s WHEN 0 THEN wa ELSE wb END AS w)),
  iv AS (SELECT wa, wb, x, max(CASE WHEN side = wa THEN CASE WHEN x1 IS NULL THEN v0 ELSE v0 + (x - x0) / (x1 - x0) * (v1 - v0) END END) AS ca, max(CASE WHEN side = wb THEN CASE WHEN x1 IS NULL THEN v0 ELSE v0 + (x - x0) / (x1 - x0) * (v1 - v0) END END) AS cb FROM ip GROUP BY 1, 2, 3)
- SELECT wa AS well_a, wb AS well_b, count(*) AS n_stations, avg(ca / cb) AS mean_contrast, sum((ca / cb < 0.8)::INT) AS n_worse, sum((ca / cb > 1.2)::INT) AS n_better FROM iv GROUP BY 1, 2""", dbl="mean_contrast")
+ SELECT wa AS well_a, wb AS well_b, count(*) AS n_stations, avg(ca / cb) AS mean_contrast, sum((ca / cb < 0.8)::INT) AS n_worse, sum((ca / cb > 1.2)::INT) AS n_better FROM iv GROUP BY 1, 2""", dbl="mean_contrast", whole="n_better n_worse")
 def q_contrast(spark, sf):
     return C.baseline_contrast(windows(spark, sf), windows(spark, sf), neighbours_of(spark, sf))
 

@@ -93,7 +93,7 @@ TIME_SQL = f"""tr AS (SELECT {IP('o_custkey')} AS ip, o_orderdate AS ts, o_order
  tg AS (SELECT * FROM tr WHERE o_orderkey % 40 <> 0), ts AS (SELECT ip, ts, r, '0108' AS wits_id, o_orderkey * 0.5 AS value FROM tg UNION ALL SELECT ip, ts, r, '0130', o_totalprice FROM tg UNION ALL SELECT ip, ts, r, '1984', NULL FROM tg)"""
 
 
-@query("depth_dump_scan", f"WITH {RIG_SQL} SELECT ip, wits_id, count(*) AS n, count(value) AS n_valid, avg(value) AS mean, max(depth) AS bottom, min(ts) AS first_ts, sum(hide) AS hidden, count(*) - 1 AS last_pos FROM rs GROUP BY 1, 2", dbl="mean bottom")
+@query("depth_dump_scan", f"WITH {RIG_SQL} SELECT ip, wits_id, count(*) AS n, count(value) AS n_valid, avg(value) AS mean, max(depth) AS bottom, min(ts) AS first_ts, sum(hide) AS hidden, count(*) - 1 AS last_pos FROM rs GROUP BY 1, 2", dbl="mean bottom", whole="hidden")
 def q_depth(spark, sf):
     _, s = depth_tables(spark, sf)
     return s.groupBy("ip", "wits_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.max("depth").alias("bottom"),

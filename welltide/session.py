@@ -22,6 +22,8 @@ def build_session(app: str = "welltide", master: str | None = None, partitions:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
     if partitions:
