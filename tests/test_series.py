@@ -63,12 +63,13 @@ def test_runs(spark, size):
         assert got == start
 
 
+@pytest.mark.parametrize("small", [0, 1 << 16])
 @pytest.mark.parametrize("n,accuracy", [(1, 10000), (9, 10000), (3000, 10000), (3000, 200)])
-def test_exact_percentiles(spark, n, accuracy):
+def test_exact_percentiles(spark, n, accuracy, small):
     rng = np.random.default_rng(n)
     v = np.concatenate([rng.normal(0, 1, n), np.full(n // 3, -999.25), rng.choice([1e9, 5.0], n // 10)])
     d = spark.createDataFrame([(7, i, float(x)) for i, x in enumerate(v)], "k int, pos long, v double")
-    got = exact_percentiles(d, ["k"], c("v"), {"a": 0.02, "b": 0.25, "m": 0.5, "z": 0.98, "e": 1.0, "s": 0.0}, size=64, accuracy=accuracy).first()
+    got = exact_percentiles(d, ["k"], c("v"), {"a": 0.02, "b": 0.25, "m": 0.5, "z": 0.98, "e": 1.0, "s": 0.0}, size=64, accuracy=accuracy, small=small).first()
     for name, p in [("a", 2), ("b", 25), ("m", 50), ("z", 98), ("e", 100), ("s", 0)]:
         assert close(got[name], float(np.percentile(v, p))), name
 

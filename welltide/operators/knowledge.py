@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,58 +90,57 @@ def _pair_table(rows: DataFrame, pairs: DataFrame, channels: Sequence[str], size
 PAIR = ["well_id", "state", "channel_a", "channel_b"]
 
 
-def value_buckets(df: DataFrame, keys: Sequence[str], v: str, rn: str, size: int) -> DataFrame:
-    """Add ``_vb``, an orderable bucket along (v, rn) that keeps any bucket near ``size`` rows.
+def value_buckets(df: DataFrame, keys: Sequence[str], v: str, rn: str, size: int, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Add ``_vb``, an orderable bucket along (v, rn) that keeps any bucket near ``size`` rows, and group statistics.
 
     Equal-width ranges of v, cut at values so frequent that they would fill a bucket alone; such a value is split
-    by ``rn``.
+    by ``rn``. Only groups large enough to hold such a value are searched for them.
     """
-    keys = list(keys)
-    st = df.groupBy(*keys).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.count(F.lit(1)).alias("_n"), F.max(rn).alias("last_pos"))
-    heavy = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_k")).where(c("_k") > size // 4) \
-        .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_hv"))
-    par = st.join(heavy, keys, "left").withColumn("_hv", F.coalesce("_hv", F.array().cast("array<double>")))
+    keys, extra = list(keys), extra or {}
+    st = stage(df.groupBy(*keys).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.count(F.lit(1)).alias("_n"), F.max(rn).alias("last_pos"),
+                                     *[e.alias(n) for n, e in extra.items()]), "value-ranges")
+    none = F.array().cast("array<double>")
+    large = st.where(c("_n") > size // 4)
+    if large.isEmpty():
+        par = st.withColumn("_hv", none)
+    else:
+        inside = attach(df, large.select(*keys, "last_pos"), keys, size=size, pos=rn, how="inner")
+        heavy = inside.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_k")).where(c("_k") > size // 4) \
+            .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_hv"))
+        par = st.join(heavy, keys, "left").withColumn("_hv", F.coalesce("_hv", none))
     j = attach(df, par, keys, size=size, pos=rn)
-    wide_enough = c("_mx") > c("_mn")
-    b = F.when(wide_enough, F.floor((c(v) - c("_mn")) / (c("_mx") - c("_mn")) * F.greatest(F.lit(1), F.ceil(c("_n") * 4 / F.lit(size))))).otherwise(F.lit(0))
+    b = F.when(c("_mx") > c("_mn"), F.floor((c(v) - c("_mn")) / (c("_mx") - c("_mn")) * F.ceil(c("_n") * 4 / F.lit(size)))).otherwise(F.lit(0))
     is_heavy = F.array_contains("_hv", c(v))
     seg = F.size(F.filter("_hv", lambda h: h < c(v))) * 2 + is_heavy.cast("int")
     return j.withColumn("_vb", F.struct(b.alias("b"), seg.alias("s"), F.when(is_heavy, chunk_of(rn, size)).otherwise(F.lit(0)).alias("k"))) \
-        .drop("_mn", "_mx", "_n", "_hv")
+        .drop("_mn", "_mx", "_hv")
 
 
 def threshold_patterns(pair_rows: DataFrame, size: int = CHUNK) -> DataFrame:
     """Pairs where b, ordered by a, makes one jump over half its range and few over a tenth."""
-    d = value_buckets(pair_rows, PAIR, "va", "rn", size)
+    d = value_buckets(pair_rows, PAIR, "va", "rn", size, {"_span": F.max("vb") - F.min("vb")})
     n = neighbours(d.withColumn("_b", c("vb")), PAIR, c("_vb"), ["va", "rn"], ["_b"])
-    # The value before the row: neighbours() includes the row itself, so shift through the next-value side.
     jump = F.abs(c("_b_next") - c("vb"))
-    g = n.select(*PAIR, "vb", jump.alias("_j"))
-    span = g.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), (F.max("vb") - F.min("vb")).alias("_span"), F.max("_j").alias("_mj"))
-    last = pair_rows.groupBy(*PAIR).agg(F.max("rn").alias("last_pos"))
-    big = attach(n.select(*PAIR, "rn", jump.alias("_j")), span.join(last, PAIR), PAIR, size=size, pos="rn") \
-        .groupBy(*PAIR).agg(F.sum((c("_j") > c("_span") * 0.1).cast("int")).alias("_large"))
-    j = span.join(big, PAIR)
+    g = n.groupBy(*PAIR).agg(F.first("_n").alias("n"), F.first("_span").alias("_span"), F.max(jump).alias("_mj"),
+                             F.sum((jump > c("_span") * 0.1).cast("int")).alias("_large"))
     hit = (c("n") >= MIN_RELATED) & (c("_span") > 0) & (c("_mj") > c("_span") * 0.5) & (c("_large") <= F.greatest(F.lit(3), F.floor(c("n") / 50)))
-    return j.select(*PAIR, F.coalesce(hit, F.lit(False)).alias("is_threshold"))
+    return g.select(*PAIR, F.coalesce(hit, F.lit(False)).alias("is_threshold"))
 
 
 LAG_SIZE = 1 << 16
 
 
-def _lag_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in batches:
-        g = g.sort_values("rn", kind="stable")
-        first = g.iloc[0]
-        a, b, own = g["za"].to_numpy(), g["zb"].to_numpy(), g["_own"].to_numpy()
-        a = np.where(own, a, 0.0)
-        n, m = len(a), int(first["max_lag"])
-        out = []
-        for lag in range(-m, m + 1):
-            # Sum of a[i] * b[i - lag] over own rows i whose partner exists.
-            lo, hi = max(0, lag), min(n, n + lag)
-            out.append(float(np.dot(a[lo:hi], b[lo - lag:hi - lag])) if hi > lo else 0.0)
-        yield pd.DataFrame({**{k: first[k] for k in PAIR}, "lag": np.arange(-m, m + 1), "part": out})
+def _lag_sums(g: pa.Table) -> pa.Table:
+    """Sums of a[i] * b[i - lag] over the chunk's own rows i whose partner is at hand, for every lag."""
+    order = np.argsort(g["rn"].to_numpy(), kind="stable")
+    a = np.where(g["_own"].to_numpy(), g["za"].to_numpy(), 0.0)[order]
+    b = g["zb"].to_numpy()[order]
+    n, m = len(a), g["max_lag"][0].as_py()
+    span = range(-m, m + 1)
+    sums = [float(a[max(0, k):n + min(0, k)] @ b[max(0, -k):n - max(0, k)]) if abs(k) < n else 0.0 for k in span]
+    first = g.slice(0, 1)
+    keys = {x: pa.array(np.repeat(0, len(sums))).cast(pa.int32()) for x in PAIR}
+    return pa.table({**{x: first[x].combine_chunks().take(keys[x]) for x in PAIR}, "lag": pa.array(span, pa.int32()), "part": pa.array(sums, pa.float64())})
 
 
 def lags(pair_rows: DataFrame, size: int = LAG_SIZE) -> DataFrame:
@@ -160,7 +159,7 @@ def lags(pair_rows: DataFrame, size: int = LAG_SIZE) -> DataFrame:
     h = halo(z, MAX_LAG, MAX_LAG, max(size, MAX_LAG), "rn")
     kinds = dict(pair_rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in PAIR) + ", lag int, part double"
-    parts = h.groupBy(*PAIR, "_chunk").applyInPandas(lambda g: next(_lag_sums(iter([g]))), schema)
+    parts = h.groupBy(*PAIR, "_chunk").applyInArrow(_lag_sums, schema)
     cc = parts.groupBy(*PAIR, "lag").agg(F.sum("part").alias("_s")).join(ok.select(*PAIR, "n"), PAIR)
     cc = cc.withColumn("cc", c("_s") / (c("n") - F.abs("lag")))
     best = cc.groupBy(*PAIR).agg(F.max_by("lag", F.struct("cc", (c("lag") == 0).alias("z"), (-c("lag")).alias("o"))).alias("lag"),

@@ -13,29 +13,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from welltide.operators.series import CHUNK, attach
+from welltide.session import stage
 
 SUB_BUCKETS = 256
+SMALL = 1 << 16   # positions below which a group is taken in one buffer
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float],
-                      size: int = CHUNK, pos: str = "pos", accuracy: int = 10000) -> DataFrame:
-    """keys + one column per entry of ``probs``; nulls are ignored. Rows need a position column."""
+                      size: int = CHUNK, pos: str = "pos", accuracy: int = 10000, small: int = SMALL) -> DataFrame:
+    """keys + one column per entry of ``probs``; nulls are ignored. Rows need a position column.
+
+    Groups whose positions stay below ``small`` come straight from one aggregation, whose buffers never hold more
+    than ``small`` values. Only larger groups, if there are any, take the bracket search.
+    """
     keys = list(keys)
     v = df.select(*keys, pos, value.cast("double").alias("_v")).where("_v is not null")
     ps = list(probs.items())
+    k = len(ps)
     step = 4.0 / accuracy
     wanted = [max(0.0, p - step) for _, p in ps] + [min(1.0, p + step) for _, p in ps]
-    k = len(ps)
-    g = v.groupBy(*keys).agg(
+    few = F.when(F.col(pos) < small, F.col("_v"))
+    g = stage(v.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.max(pos).alias("last_pos"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(w) for w in wanted], accuracy).alias("_q"))
-    # Small groups take all their values; at the very ends the exact extremes bound the bracket.
-    small = F.col("_n") <= 2 * accuracy
-    lo = [F.when(small | F.lit(wanted[i] == 0.0), F.col("_min")).otherwise(F.col("_q")[i]) for i in range(k)]
-    hi = [F.when(small | F.lit(wanted[k + i] == 1.0), F.col("_max")).otherwise(F.col("_q")[k + i]) for i in range(k)]
+        F.percentile(few, [float(p) for _, p in ps]).alias("_exact"),
+        F.percentile_approx("_v", [float(w) for w in wanted], accuracy).alias("_q")), "percentiles")
+    done = g.where(F.col("last_pos") < small).select(*keys, *[F.col("_exact")[i].alias(n) for i, (n, _) in enumerate(ps)])
+    g = g.where(F.col("last_pos") >= small).drop("_exact")
+    if g.isEmpty():
+        return done
+    # Sparse groups take all their values; at the very ends the exact extremes bound the bracket.
+    sparse = F.col("_n") <= 2 * accuracy
+    lo = [F.when(sparse | F.lit(wanted[i] == 0.0), F.col("_min")).otherwise(F.col("_q")[i]) for i in range(k)]
+    hi = [F.when(sparse | F.lit(wanted[k + i] == 1.0), F.col("_max")).otherwise(F.col("_q")[k + i]) for i in range(k)]
     g = g.withColumn("_br", F.array(*[F.struct(lo[i].alias("lo"), hi[i].alias("hi")) for i in range(k)])) \
         .drop("_q", "_min", "_max")
-    rows = attach(v, g, keys, size=size, pos=pos)
+    rows = attach(v, g, keys, size=size, pos=pos, how="inner")
     r, low = F.col("_r"), F.col("_v") < F.col("_r.lo")
     sub = F.when(low, F.lit(-1)).when(r["hi"] > r["lo"], F.least(F.lit(SUB_BUCKETS - 1), F.floor(
         (F.col("_v") - r["lo"]) / (r["hi"] - r["lo"]) * SUB_BUCKETS))).otherwise(F.lit(0)).cast("int")
@@ -57,5 +69,5 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
         value_at(i, F.floor("_at")).alias(f"_lo{i}"), value_at(i, F.ceil("_at")).alias(f"_hi{i}"),
         F.max(F.when(F.col("_i") == i, F.col("_at"))).alias(f"_at{i}"))])
     at = lambda i: F.col(f"_at{i}") - F.floor(f"_at{i}")
-    return per.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * at(i)).alias(n)
-                               for i, (n, _) in enumerate(ps)])
+    return done.unionByName(per.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * at(i)).alias(n)
+                               for i, (n, _) in enumerate(ps)]))

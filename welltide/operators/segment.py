@@ -166,7 +166,7 @@ def detect_states(wide: DataFrame, min_samples: int = 30, size: int = CHUNK, kee
     last = base.groupBy("well_id").agg(F.max("pos").alias("last_pos"))
     par = thr.groupBy("well_id").pivot("ch", chans).agg(F.first("threshold"))
     par = par.select("well_id", *[c(x).alias(f"{x}_thr") for x in chans])
-    par = last.join(par, "well_id", "left").join(motion_dead_band(base, size), "well_id", "left")
+    par = stage(last.join(par, "well_id", "left").join(motion_dead_band(base, size), "well_id", "left"), "well-parameters")
     rows = attach(base, par, ["well_id"], size=size)
     on = lambda x: F.coalesce(F.when(c(f"{x}_thr") == 0.0, c(x) > 0.0).otherwise(c(x) >= c(f"{x}_thr")), F.lit(False))
     rows = rows.withColumns({"pumps": on("pump"), "rotating": on("rot"), "motion": block_motion(c("step"), c("dead_band"))})
