@@ -98,7 +98,7 @@ def confirmed(raw: str, n: int, w) -> Column:
 
 def hysteresis(df: DataFrame, flags: Sequence[str], n: int, size: int = CHUNK) -> DataFrame:
     """Flags that flip only after ``n - 1`` samples of the new value."""
-    d = bounded(df, ["well_id"], n - 2, 0, lambda w: {f"_ok_{f}": confirmed(f, n, w) for f in flags}, size)
+    d = bounded(df, ["well_id"], n - 2, 0, lambda w: {f"_ok_{f}": confirmed(f, n, w) for f in flags}, size, keep_chunk=True)
     return carry(d, ["well_id"], last={f"{f}_held": c(f"_ok_{f}") for f in flags}, size=size).drop(*[f"_ok_{f}" for f in flags])
 
 
@@ -130,7 +130,7 @@ def debounce(df: DataFrame, min_samples: int, size: int = CHUNK) -> DataFrame:
     """
     if min_samples <= 1:
         return df
-    p = previous(df, ["well_id"], {"_prev": c("state")}, size)
+    p = previous(df, ["well_id"], {"_prev": c("state")}, size, keep_chunk=True)
     start = F.when(c("_prev").isNull() | (c("_prev") != c("state")), c("pos"))
     p = p.withColumn("_start", start).drop("_prev")
     p = carry(p, ["well_id"], last={"_first": c("_start")}, following={"_next": c("_start")}, size=size)

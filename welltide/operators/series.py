@@ -63,13 +63,15 @@ def chunk_window(keys: Sequence[str], pos: str = "pos"):
 
 
 def bounded(df: DataFrame, keys: Sequence[str], before: int, after: int, make, size: int = CHUNK,
-            pos: str = "pos") -> DataFrame:
+            pos: str = "pos", keep_chunk: bool = False) -> DataFrame:
     """Add columns from frames reaching at most ``before`` rows back and ``after`` rows on.
 
-    ``make(w)`` gets the ordered window and returns {name: column}.
+    ``make(w)`` gets the ordered window and returns {name: column}. With ``keep_chunk`` the rows stay partitioned by
+    (key, chunk), so a ``carry`` of the same size that follows needs no further shuffle of them.
     """
     h = halo(df, before, after, size, pos)
-    return h.withColumns(make(chunk_window(keys, pos))).where("_own").drop("_own", "_chunk")
+    out = h.withColumns(make(chunk_window(keys, pos))).where("_own").drop("_own")
+    return out if keep_chunk else out.drop("_chunk")
 
 
 def carry(df: DataFrame, keys: Sequence[str], last: dict[str, Column] | None = None,
@@ -86,7 +88,7 @@ def carry(df: DataFrame, keys: Sequence[str], last: dict[str, Column] | None = N
     last, total, following = last or {}, total or {}, following or {}
     keys = list(keys)
     src = {f"_s_{n}": c for n, c in {**last, **total, **following}.items()}
-    d = with_chunk(df, size, pos).withColumns(src)
+    d = (df if "_chunk" in df.columns else with_chunk(df, size, pos)).withColumns(src)
     aggs = []
     for n in last:
         aggs.append(F.max_by(f"_s_{n}", F.when(F.col(f"_s_{n}").isNotNull(), F.col(pos))).alias(f"_c_{n}"))
@@ -127,14 +129,14 @@ def attach(rows: DataFrame, params: DataFrame, keys: Sequence[str], last_pos: st
 
 
 def previous(df: DataFrame, keys: Sequence[str], cols: dict[str, Column], size: int = CHUNK,
-             pos: str = "pos") -> DataFrame:
+             pos: str = "pos", keep_chunk: bool = False) -> DataFrame:
     """Value of each column one row earlier (null on the first row)."""
-    return bounded(df, keys, 1, 0, lambda w: {n: F.lag(c).over(w) for n, c in cols.items()}, size, pos)
+    return bounded(df, keys, 1, 0, lambda w: {n: F.lag(c).over(w) for n, c in cols.items()}, size, pos, keep_chunk)
 
 
 def runs(df: DataFrame, keys: Sequence[str], state: str, size: int = CHUNK, pos: str = "pos") -> DataFrame:
     """Add ``run_start``: position of the first row of the row's run of equal ``state``."""
-    p = previous(df, keys, {"_prev": F.col(state)}, size, pos)
+    p = previous(df, keys, {"_prev": F.col(state)}, size, pos, keep_chunk=True)
     starts = F.when(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col(state)), F.col(pos))
     return carry(p.withColumn("_start", starts), keys, last={"run_start": F.col("_start")}, size=size, pos=pos) \
         .drop("_prev", "_start")

@@ -119,7 +119,7 @@ def survey_steps(surveys: DataFrame, size: int = CHUNK) -> DataFrame:
 
     ``surveys``: well_id, pos, md, inc, azm (degrees). Steps without progress add nothing and have no severity.
     """
-    s = previous(surveys, ["well_id"], {"_md": c("md"), "_i": c("inc"), "_a": c("azm")}, size)
+    s = previous(surveys, ["well_id"], {"_md": c("md"), "_i": c("inc"), "_a": c("azm")}, size, keep_chunk=True)
     i1, i2, a1, a2 = F.radians("_i"), F.radians("inc"), F.radians("_a"), F.radians("azm")
     cosd = F.cos(i2 - i1) - F.sin(i1) * F.sin(i2) * (F.lit(1.0) - F.cos(a2 - a1))
     s = s.withColumn("_dl", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosd)))).withColumn("_dm", c("md") - c("_md"))
