@@ -382,7 +382,7 @@ def q_layer1(spark, sf):
 
 
 @query("ecd_with_provenance", f"""{W} SELECT well_id, pos, mud_weight + 0.3 * spp / (0.052 * depth_tvd) AS value, 'ppg' AS unit, 'equivalent circulating density' AS method, 3 AS n_inputs, mud_weight AS input_mw FROM wide""",
-       dbl="value input_mw")
+       dbl="value input_mw", whole="n_inputs")
 def q_prov(spark, sf):
     d = drill_wide(spark, sf)
     r = D.with_provenance(H.ecd(c("mud_weight"), c("spp") * 0.3, c("depth_tvd")), "ppg", "equivalent circulating density", [

@@ -276,7 +276,7 @@ REC_SQL = f"""{MERGE_SQL}, r0 AS (SELECT *, row_number() OVER (PARTITION BY well
   80 * CASE classification WHEN 'high_potential' THEN 1.05 WHEN 'overpressured' THEN 0.95 WHEN 'fractured' THEN 0.9 ELSE 1 END AS rate_bpm, CASE WHEN classification = 'fractured' THEN 'composite' ELSE 'none' END AS diversion, skip FROM r0)"""
 
 
-@query("completion_design", f"WITH {REC_SQL} SELECT * FROM rec", dbl="top_md bottom_md spacing_ft proppant_lbs rate_bpm")
+@query("completion_design", f"WITH {REC_SQL} SELECT * FROM rec", dbl="top_md bottom_md spacing_ft proppant_lbs rate_bpm", whole="clusters")
 def q_rec(spark, sf):
     return Z.recommend(merged(spark, sf))
 

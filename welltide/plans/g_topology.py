@@ -221,7 +221,7 @@ def residuals(spark, sf):
     return shared(spark, sf, "residuals", lambda: C.residuals(fibers(spark, sf), FIB))
 
 
-@query("fiber_bins", f"WITH {WIDE_SQL}, {ZW}, {FIB_SQL} SELECT well_id, bin, centre, {', '.join(FIB)} FROM fib", dbl="centre " + " ".join(FIB))
+@query("fiber_bins", f"WITH {WIDE_SQL}, {ZW}, {FIB_SQL} SELECT well_id, bin, centre, {', '.join(FIB)} FROM fib", dbl="centre " + " ".join(FIB), whole="bin")
 def q_fib(spark, sf):
     return fibers(spark, sf)
 
@@ -229,7 +229,7 @@ def q_fib(spark, sf):
 RCOLS = [f"r_{r}" for r in C.RULES] + ["r_composite"]
 
 
-@query("transport_residuals", f"WITH {RES} SELECT well_id, edge, mid, {', '.join(RCOLS)} FROM res", dbl="mid " + " ".join(RCOLS))
+@query("transport_residuals", f"WITH {RES} SELECT well_id, edge, mid, {', '.join(RCOLS)} FROM res", dbl="mid " + " ".join(RCOLS), whole="edge")
 def q_res(spark, sf):
     return residuals(spark, sf).drop("from_centre", "to_centre")
 
@@ -238,7 +238,7 @@ DEF_SQL = """df AS (SELECT f.well_id, f.bin, f.centre, coalesce((SELECT sum(r_co
  am AS (SELECT *, avg(defect) OVER w AS mu, stddev_pop(defect) OVER w AS sd FROM df WINDOW w AS (PARTITION BY well_id)), an AS (SELECT well_id, bin, centre AS depth, (defect - mu) / sd AS severity FROM am WHERE sd >= 1e-12 AND defect > mu + 2 * sd)"""
 
 
-@query("vertex_defects", f"WITH {RES}, {DEF_SQL} SELECT well_id, bin, centre, defect FROM df", dbl="centre defect")
+@query("vertex_defects", f"WITH {RES}, {DEF_SQL} SELECT well_id, bin, centre, defect FROM df", dbl="centre defect", whole="bin")
 def q_def(spark, sf):
     return C.defects(residuals(spark, sf), fibers(spark, sf))
 
@@ -247,7 +247,7 @@ def anoms(spark, sf):
     return C.anomalies(C.defects(residuals(spark, sf), fibers(spark, sf)))
 
 
-@query("coherence_anomalies", f"WITH {RES}, {DEF_SQL} SELECT * FROM an", dbl="depth severity")
+@query("coherence_anomalies", f"WITH {RES}, {DEF_SQL} SELECT * FROM an", dbl="depth severity", whole="bin")
 def q_anom(spark, sf):
     return anoms(spark, sf)
 
@@ -268,7 +268,7 @@ def classified(spark, sf):
     return shared(spark, sf, "classified", lambda: C.classify_anomalies(anoms(spark, sf), residuals(spark, sf), zone_wide(spark, sf)))
 
 
-@query("classified_anomalies", f"WITH {RES}, {DEF_SQL}, {CLS} SELECT * FROM ac", dbl="depth severity")
+@query("classified_anomalies", f"WITH {RES}, {DEF_SQL}, {CLS} SELECT * FROM ac", dbl="depth severity", whole="bin")
 def q_cls(spark, sf):
     return classified(spark, sf)
 

@@ -131,7 +131,7 @@ ID_SQL = f"""SELECT {IP('p_partkey')} AS ip, CASE WHEN p_partkey // {RIGS} < 5 T
  list_extract(['depth', 'time', 'unknown', 'depth', 'unknown'], (p_partkey % 5)::INT + 1) AS log_by, CASE WHEN p_partkey % 8 = 0 THEN 2 ELSE 0 END AS n_changes FROM part"""
 
 
-@query("dump_id_table", ID_SQL, dbl="bias scale")
+@query("dump_id_table", ID_SQL, dbl="bias scale", whole="n_changes")
 def q_ids(spark, sf):
     ids = dumps.id_table(dumps.dump_lines(spark, depth_folder(spark, sf), False))
     return ids.select("ip", "wits_id", "mnemonic", "description", "source", "bias", "scale", "log_by", F.size("changelog").alias("n_changes"))

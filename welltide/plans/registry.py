@@ -21,8 +21,8 @@ SAME_TYPE = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint", "timest
 def query(name: str, sql: str | None = None, dbl: str = "", digits: int = 4, whole: str = ""):
     """Register a query.
 
-    Columns in ``dbl`` (``name`` or ``name:digits``) are rounded on both sides; columns in ``whole`` are sums of
-    integers, which the checking SQL would widen. Integers come out as BIGINT and instants without a zone (UTC).
+    Columns in ``dbl`` (``name`` or ``name:digits``) are rounded on both sides; columns in ``whole`` are integers
+    the checking SQL gives another width. Integers come out as BIGINT and instants without a zone (UTC).
     """
     spec = [(p.split(":")[0], int(p.split(":")[1]) if ":" in p else digits) for p in dbl.split()]
 
