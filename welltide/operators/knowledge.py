@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -130,17 +130,39 @@ def threshold_patterns(pair_rows: DataFrame, size: int = CHUNK) -> DataFrame:
 LAG_SIZE = 1 << 16
 
 
-def _lag_sums(g: pa.Table) -> pa.Table:
-    """Sums of a[i] * b[i - lag] over the chunk's own rows i whose partner is at hand, for every lag."""
-    order = np.argsort(g["rn"].to_numpy(), kind="stable")
-    a = np.where(g["_own"].to_numpy(), g["za"].to_numpy(), 0.0)[order]
-    b = g["zb"].to_numpy()[order]
-    n, m = len(a), g["max_lag"][0].as_py()
-    span = range(-m, m + 1)
-    sums = [float(a[max(0, k):n + min(0, k)] @ b[max(0, -k):n - max(0, k)]) if abs(k) < n else 0.0 for k in span]
-    first = g.slice(0, 1)
-    keys = {x: pa.array(np.repeat(0, len(sums))).cast(pa.int32()) for x in PAIR}
-    return pa.table({**{x: first[x].combine_chunks().take(keys[x]) for x in PAIR}, "lag": pa.array(span, pa.int32()), "part": pa.array(sums, pa.float64())})
+def _sums(parts: list[pa.RecordBatch]) -> tuple[list[int], list[float]]:
+    """Sums of a[i] * b[i - lag] over one chunk's own rows i whose partner is at hand, for every lag."""
+    col = lambda x: np.concatenate([p[x].to_numpy(zero_copy_only=False) for p in parts])
+    a, b, m = np.where(col("_own"), col("za"), 0.0), col("zb"), parts[0]["max_lag"][0].as_py()
+    n = len(a)
+    at = lambda k: float(a[max(0, k):n + min(0, k)] @ b[max(0, -k):n - max(0, k)]) if abs(k) < n else 0.0
+    return list(range(-m, m + 1)), [at(k) for k in range(-m, m + 1)]
+
+
+def _lag_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial lag sums of rows that arrive sorted by (pair, chunk, position); one chunk is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def close(out):
+        ks, sums = _sums(held)
+        out.append(pa.record_batch({**{x: pa.repeat(held[0][x][0], len(ks)) for x in PAIR}, "lag": pa.array(ks, pa.int32()), "part": pa.array(sums, pa.float64())}))
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        g, out = batch["_g"].to_numpy(), []
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0]["_g"][0].as_py() != g[lo]:
+                close(out)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    if held:
+        out = []
+        close(out)
+        yield out[0]
 
 
 def lags(pair_rows: DataFrame, size: int = LAG_SIZE) -> DataFrame:
@@ -159,7 +181,9 @@ def lags(pair_rows: DataFrame, size: int = LAG_SIZE) -> DataFrame:
     h = halo(z, MAX_LAG, MAX_LAG, max(size, MAX_LAG), "rn")
     kinds = dict(pair_rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in PAIR) + ", lag int, part double"
-    parts = h.groupBy(*PAIR, "_chunk").applyInArrow(_lag_sums, schema)
+    # One (pair, chunk) is a run of rows in a sorted partition; its number tells runs apart.
+    h = h.withColumn("_g", F.xxhash64(*PAIR, "_chunk")).repartition(*PAIR, "_chunk").sortWithinPartitions(*PAIR, "_chunk", "rn")
+    parts = h.select(*PAIR, "_g", "_own", "max_lag", "za", "zb").mapInArrow(_lag_sums, schema)
     cc = parts.groupBy(*PAIR, "lag").agg(F.sum("part").alias("_s")).join(ok.select(*PAIR, "n"), PAIR)
     cc = cc.withColumn("cc", c("_s") / (c("n") - F.abs("lag")))
     best = cc.groupBy(*PAIR).agg(F.max_by("lag", F.struct("cc", (c("lag") == 0).alias("z"), (-c("lag")).alias("o"))).alias("lag"),
