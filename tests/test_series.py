@@ -242,3 +242,9 @@ def test_lags_equal_direct_sums(spark, lagsize):
     best = max(cc, key=cc.get)
     got = K.lags(d, lagsize).collect()
     assert [r["lag"] for r in got] == ([best] if cc[best] - cc[0] >= 0.05 and best else [])
+
+
+def test_constant_channel_has_no_correlation(spark):
+    d = spark.createDataFrame([(1, float(i), 5.0, -2.0 * i) for i in range(40)], "k int, a double, b double, c double")
+    got = {(r.channel_a, r.channel_b): r.r for r in J.pair_correlations(d, ["k"], ["a", "b", "c"]).collect()}
+    assert got[("a", "b")] is None and got[("b", "c")] is None and close(got[("a", "c")], -1.0)
