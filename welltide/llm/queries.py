@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from welltide.llm import bpe, exact, shards, simhash
+from welltide.llm import bpe, exact, langid, mixing, shards, simhash
 
 QUERIES = {
     "op3_shards": shards.op3_shards,
+    "op5_language_id": langid.op5_language_id,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe": bpe.op7_bpe,
+    "op8_mixing": mixing.op8_mixing,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-ORACLES = {"op10_exact_dedup": exact.OP10_SQL}
+ORACLES = {"op8_mixing": mixing.OP8_SQL, "op10_exact_dedup": exact.OP10_SQL}
