@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from welltide.session import ensure_settings
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with all its columns in one struct, ``row``, next to the given ones, so that no name can clash; ``row.*`` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def slices(text: pd.Series, most: int) -> Iterator[slice]:
     """Consecutive row slices of about ``most`` characters, one row at least, so that a batch of long texts stays small in memory."""
     start, held = 0, 0

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from welltide.llm.common import WS_CLASS, table
+from welltide.llm.common import WS_CLASS, packed, table
 
 #: Bytes of edge labels a trie may hold before its finished subtrees are given out.
 TRIE_BYTES = 48 << 20
@@ -160,10 +160,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", trie_
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct normalised text, with their columns. Of rows with the same key and text one stays."""
-    own = owners(docs, key, text).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    rows = docs.withColumn("_digest", F.sha2(normalised(text), 256))
-    hit = (F.col("_digest") == F.col("_sha")) & F.col(key).cast("long").eqNullSafe(F.col("_keep"))
-    return rows.join(own, hit).dropDuplicates(["_digest"]).select(*docs.columns)
+    rows = packed(docs, digest=F.sha2(normalised(text), 256), key=F.col(key).cast("long"))
+    hit = (F.col("digest") == F.col("text_sha256")) & F.col("key").eqNullSafe(F.col("keep_id"))
+    return rows.join(owners(docs, key, text), hit).dropDuplicates(["digest"]).select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

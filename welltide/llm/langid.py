@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from welltide.llm.common import per_batch, slices, table
+from welltide.llm.common import packed, per_batch, slices, table
 
 BUCKETS = 1 << 16
 #: Nats a change of language costs, and the most one word can say against a language.
@@ -226,5 +226,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, least_score: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that have a language: letters, and one language with at least ``least_score`` of them."""
     model = learn(docs.where(~held_out(key) & F.col(key).isNotNull()), text, lang)
-    seen = docs.withColumn("_language", language(docs, model, text))
-    return seen.where((F.col("_language.lang") != "und") & (F.col("_language.score") >= least_score)).select(*docs.columns)
+    seen = packed(docs, found=language(docs, model, text))
+    return seen.where((F.col("found.lang") != "und") & (F.col("found.score") >= least_score)).select("row.*")

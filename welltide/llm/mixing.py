@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from welltide.llm.common import table
+from welltide.llm.common import packed, table
 
 MAX_CELLS = 200_000
 ROUNDS = 50
@@ -73,23 +73,21 @@ def cell_rates(cells: pd.DataFrame, columns: list[str], targets: dict[str, dict
 
 def with_rates(docs: DataFrame, source: str = "source", lang: str = "lang", topic: Column | None = None, tokens: Column | None = None,
                targets: dict[str, dict | None] | None = None, temper: float = 0.9, text: str = "text") -> DataFrame:
-    """``docs`` with columns _source, _lang, _topic, _tokens, _weight (the cell's target share) and _rate."""
-    spark = docs.sparkSession
-    own = ["_source", "_lang", "_topic"]
-    rows = docs.withColumns({"_source": F.col(source).cast("string"), "_lang": F.col(lang).cast("string"), "_topic": topic_of(text) if topic is None else topic,
-                             "_tokens": tokens_of(text) if tokens is None else tokens})
-    found = rows.groupBy(*own).agg(F.sum("_tokens").cast("double").alias("mass")).limit(MAX_CELLS + 1).toPandas()
+    """The columns of ``docs`` as ``row``, with source, lang, topic, tokens, weight (the cell's share of the mixture) and rate."""
+    own = ["source", "lang", "topic"]
+    rows = packed(docs, source=F.col(source).cast("string"), lang=F.col(lang).cast("string"), topic=topic_of(text) if topic is None else topic,
+                  tokens=tokens_of(text) if tokens is None else tokens)
+    found = rows.groupBy(*own).agg(F.sum("tokens").cast("double").alias("mass")).limit(MAX_CELLS + 1).toPandas()
     if len(found) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
     if found.empty:
-        return rows.withColumns({"_weight": F.lit(None).cast("double"), "_rate": F.lit(None).cast("double")})
-    goal = {f"_{k}": v for k, v in (targets or {}).items()}
-    cells = cell_rates(found, own, goal, temper)
+        return rows.withColumns({"weight": F.lit(None).cast("double"), "rate": F.lit(None).cast("double")})
+    cells = cell_rates(found, own, targets or {}, temper)
     data = [(None if pd.isna(a) else a, None if pd.isna(b) else b, None if pd.isna(c) else c, float(w), float(r))
             for a, b, c, w, r in cells[[*own, "weight", "rate"]].itertuples(index=False)]
-    small = spark.createDataFrame(data, "_s string, _l string, _t string, _weight double, _rate double")
-    on = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_topic").eqNullSafe(F.col("_t"))
-    return rows.join(F.broadcast(small), on).drop("_s", "_l", "_t")  # MAX_CELLS rows at most
+    small = docs.sparkSession.createDataFrame(data, "s string, l string, t string, weight double, rate double")
+    on = F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")) & F.col("topic").eqNullSafe(F.col("t"))
+    return rows.join(F.broadcast(small), on).drop("s", "l", "t")  # MAX_CELLS rows at most
 
 
 def draw(key: str = "doc_id", text: str = "text", salt: str = SALT) -> Column:
@@ -100,14 +98,13 @@ def draw(key: str = "doc_id", text: str = "text", salt: str = SALT) -> Column:
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns."""
-    return with_rates(docs, text=text, **how).where(draw(key, text) < F.col("_rate")).select(*docs.columns)
+    return with_rates(docs, text=text, **how).where(draw(f"row.{key}", f"row.{text}") < F.col("rate")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn for a mixture with tempered source, language and topic shares, with their cell's weight and rate."""
-    rows = with_rates(table(spark, sf_dir, "documents")).where(draw() < F.col("_rate"))
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
-                       F.col("_tokens").alias("tokens"), F.round("_weight", 9).alias("weight"), F.round("_rate", 9).alias("rate"))
+    rows = with_rates(table(spark, sf_dir, "documents")).where(draw("row.doc_id", "row.text") < F.col("rate"))
+    return rows.select("row.doc_id", "source", "lang", "topic", "tokens", F.round("weight", 9).alias("weight"), F.round("rate", 9).alias("rate"))
 
 
 def _sql() -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from welltide.llm.common import per_batch, table
+from welltide.llm.common import packed, per_batch, table
 from welltide.llm.components import components
 from welltide.session import stage, stage_path
 
@@ -180,5 +180,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their component, with their columns."""
-    stay = near_groups(docs, key, text, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_key")).distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("_key"))).select(*docs.columns)
+    stay = near_groups(docs, key, text, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("stays")).distinct()
+    return packed(docs, key=F.col(key)).join(stay, F.col("key").eqNullSafe(F.col("stays"))).select("row.*")
