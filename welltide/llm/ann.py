@@ -30,7 +30,7 @@ from welltide.session import release, scratch_path, stage_path
 #: Neighbours of a node, nodes of a leaf and trees of the first graph, proposals one node gets from one meeting, rounds at most.
 DEGREE, LEAF, TREES, PROPOSALS, ROUNDS = 24, 96, 3, 6, 5
 #: Beam, nodes opened per query and round, search rounds at most, candidates scored exactly per query.
-BEAM, OPEN, SEARCH_ROUNDS, EXACT = 320, 64, 16, 64
+BEAM, OPEN, SEARCH_ROUNDS, EXACT = 448, 64, 20, 64
 #: Points of one partition of a tree, which a task divides in memory.
 TREE_POINTS = 1 << 16
 
