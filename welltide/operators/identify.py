@@ -23,7 +23,7 @@ def wits_canonical(wits: Column) -> Column:
 def mnemonic_canonical(m: Column) -> Column:
     """Vendor map, then registry names and aliases, then the same without or with joined-up spaces."""
     alias = lambda key: _lookup(dims.alias_rows(), key)
-    found = F.coalesce(_lookup(dims.mnemonic_rows(), F.upper(m)), alias(F.lower(F.trim(m))),
+    found = F.coalesce(_lookup(dims.MNEMONICS, F.upper(m)), alias(F.lower(F.trim(m))),
                        alias(F.lower(F.replace(m, F.lit(" "), F.lit("")))), alias(F.lower(F.replace(m, F.lit(" "), F.lit("_")))))
     return F.when(F.length(m) > 0, found)
 
@@ -123,7 +123,7 @@ def select_for_intent(channels: DataFrame, intents: DataFrame, intent: str) -> D
 
 
 def operational_domain(canonical: Column) -> Column:
-    return F.coalesce(_lookup(dims.domain_rows(), canonical), F.lit(dims.DEFAULT_DOMAIN))
+    return F.coalesce(_lookup(dims.OPERATIONAL_DOMAINS, canonical), F.lit(dims.DEFAULT_DOMAIN))
 
 
 def dossiers(channels: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def _first_rows(rows):
 
 
 PART_SQL = f"""{dims.values_sql('wits', 'wits_id, canonical, domain, index_type', dims.WITS)}, {dims.values_sql('defs', 'id, name, domain, lo, hi', DEF_ROWS)},
- {dims.values_sql('al', 'k, canon', _first_rows(dims.alias_rows()))}, {dims.values_sql('mn', 'k, canon', _first_rows(dims.mnemonic_rows()))},
+ {dims.values_sql('al', 'k, canon', _first_rows(dims.alias_rows()))}, {dims.values_sql('mn', 'k, canon', _first_rows(dims.MNEMONICS))},
  {dims.values_sql('ud', 'i, frag, domain', [(i, f, d) for i, (f, d) in enumerate(dims.UNIT_DOMAIN.items())])},
  q AS (SELECT l_partkey AS part, count(*) AS n_points, quantile_cont(l_quantity * (l_partkey % 5 + 1) * 2.0, 0.02) AS obs_lo, quantile_cont(l_quantity * (l_partkey % 5 + 1) * 2.0, 0.98) AS obs_hi FROM lineitem GROUP BY 1),
  ch0 AS (SELECT p_partkey % 40 AS well_id, p_partkey AS part, CASE WHEN p_partkey % 7 = 0 THEN {_pick(IDS, '(p_partkey // 7) % 4')} ELSE lpad((p_partkey + 100000)::VARCHAR, 7, '0') END AS wits_id,
@@ -286,7 +286,7 @@ def q_desc(spark, sf):
     return part_channels(spark, sf).select("part", "description", can.alias("canonical"))
 
 
-@query("domain_channels", f"""WITH {PART_SQL}, {dims.values_sql('dm', 'canonical, domain', dims.domain_rows())} SELECT res.well_id, coalesce(dm.domain, '{dims.DEFAULT_DOMAIN}') AS domain, count(*) AS n_channels
+@query("domain_channels", f"""WITH {PART_SQL}, {dims.values_sql('dm', 'canonical, domain', dims.OPERATIONAL_DOMAINS)} SELECT res.well_id, coalesce(dm.domain, '{dims.DEFAULT_DOMAIN}') AS domain, count(*) AS n_channels
  FROM res LEFT JOIN dm USING (canonical) WHERE canonical IS NOT NULL GROUP BY 1, 2""")
 def q_opdomain(spark, sf):
     r = I.resolve(part_channels(spark, sf)).where("canonical is not null")

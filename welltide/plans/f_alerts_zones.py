@@ -104,7 +104,7 @@ def q_top(spark, sf):
 
 ASSIGNED = ["wob", "rop", "rpm", "flow_in", "hookload", "mud_weight", "gamma_ray", "tvd"]
 HEALTH = f"""{TRAIN_SQL}, ac AS (SELECT well_id, channel, count(*) AS n, sum(CASE severity WHEN 'critical' THEN 40 WHEN 'warning' THEN 20 ELSE 5 END) AS p FROM al GROUP BY 1, 2),
- {dims.values_sql('dm', 'channel, domain', dims.domain_rows())}, asg AS (SELECT DISTINCT well_id, x.channel FROM wide, (VALUES {', '.join(f"('{x}')" for x in ASSIGNED)}) x(channel)),
+ {dims.values_sql('dm', 'channel, domain', dims.OPERATIONAL_DOMAINS)}, asg AS (SELECT DISTINCT well_id, x.channel FROM wide, (VALUES {', '.join(f"('{x}')" for x in ASSIGNED)}) x(channel)),
  ch AS (SELECT asg.well_id, asg.channel, coalesce(dm.domain, '{dims.DEFAULT_DOMAIN}') AS domain, greatest(0, 100.0::DOUBLE - coalesce(p, 0)) AS score, coalesce(n, 0) AS alert_count FROM asg LEFT JOIN ac USING (well_id, channel) LEFT JOIN dm USING (channel)),
  dom AS (SELECT well_id, domain, round(avg(score), 1) AS score, CASE WHEN avg(score) >= 80 THEN 'green' WHEN avg(score) >= 50 THEN 'yellow' ELSE 'red' END AS status, count(*) AS channel_count, sum(alert_count) AS alert_count,
    CASE WHEN min(score) < 100 THEN (SELECT channel FROM ch k WHERE k.well_id = ch.well_id AND k.domain = ch.domain ORDER BY score, channel LIMIT 1) END AS worst_channel FROM ch GROUP BY 1, 2)"""
