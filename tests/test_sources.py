@@ -72,7 +72,7 @@ def test_time_dump_and_merge(spark, folder):
     _, t = dumps.time_dump(spark, folder)
     assert sorted((r.wits_id, str(r.value)) for r in t.collect()) == [("0108", "100.5"), ("0108", "101.5"), ("0121", "7.0"), ("0130", "12.0"), ("1984", "None")]
     ch, s = dumps.depth_dump(spark, folder)
-    m = dumps.merge_companion(s, t)
+    m = dumps.merge_companion(s, t, dumps.pairs(dumps.discover(spark, folder)))
     got = [(r.pos, r.origin, r.depth) for r in m.where("wits_id = '0121'").orderBy("pos").collect()]
     assert got == [(0, "depth", 96.970001), (1, "time", 101.5), (2, "depth", None), (3, "depth", 97.5)]
     assert [(r.ip, r.depth_epoch, r.time_epoch) for r in dumps.pairs(dumps.discover(spark, folder)).collect()] == [("172.0.0.1", 1700000000000, 1700000000001)]

@@ -93,27 +93,29 @@ PAIR = ["well_id", "state", "channel_a", "channel_b"]
 def value_buckets(df: DataFrame, keys: Sequence[str], v: str, rn: str, size: int, extra: dict[str, Column] | None = None) -> DataFrame:
     """Add ``_vb``, an orderable bucket along (v, rn) that keeps any bucket near ``size`` rows, and group statistics.
 
-    Equal-width ranges of v, cut at values so frequent that they would fill a bucket alone; such a value is split
-    by ``rn``. Only groups large enough to hold such a value are searched for them.
+    Ranges of v between approximate quantiles, so that outliers take no room, cut at values so frequent that they would
+    fill a bucket alone; such a value is split by ``rn``. Only groups large enough to hold such a value are searched for them.
     """
     keys, extra = list(keys), extra or {}
     st = stage(df.groupBy(*keys).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.count(F.lit(1)).alias("_n"), F.max(rn).alias("last_pos"),
-                                     *[e.alias(n) for n, e in extra.items()]), "value-ranges")
+                                     F.percentile_approx(v, [i / 256 for i in range(1, 256)], 2000).alias("_cuts"), *[e.alias(n) for n, e in extra.items()]), "value-ranges")
     none = F.array().cast("array<double>")
     large = st.where(c("_n") > size // 4)
-    if large.isEmpty():
-        par = st.withColumn("_hv", none)
-    else:
-        inside = attach(df, large.select(*keys, "last_pos"), keys, size=size, pos=rn, how="inner")
-        heavy = inside.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_k")).where(c("_k") > size // 4) \
-            .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_hv"))
-        par = st.join(heavy, keys, "left").withColumn("_hv", F.coalesce("_hv", none))
+    inside = attach(df, large.select(*keys, "last_pos"), keys, size=size, pos=rn, how="inner")
+    heavy = inside.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_k")).where(c("_k") > size // 4) \
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_hv"))
+    par = st.join(heavy, keys, "left").withColumn("_hv", F.coalesce("_hv", none))
     j = attach(df, par, keys, size=size, pos=rn)
-    b = F.when(c("_mx") > c("_mn"), F.floor((c(v) - c("_mn")) / (c("_mx") - c("_mn")) * F.ceil(c("_n") * 4 / F.lit(size)))).otherwise(F.lit(0))
+    # The cuts are quantiles, of which a group has about four for every ``size`` rows; 256 at most lie in one array, so
+    # the values between two of them are cut once more at equal widths.
+    near = F.size(F.filter("_cuts", lambda q: q < c(v)))
+    below, above = F.coalesce(F.get("_cuts", near - 1), c("_mn")), F.coalesce(F.get("_cuts", near), c("_mx"))
+    fine = F.when(above > below, F.floor((c(v) - below) / (above - below) * F.ceil(c("_n") * 4 / F.lit(size * 256)))).otherwise(F.lit(0))
+    b = F.struct(near.alias("q"), fine.alias("w"))
     is_heavy = F.array_contains("_hv", c(v))
     seg = F.size(F.filter("_hv", lambda h: h < c(v))) * 2 + is_heavy.cast("int")
     return j.withColumn("_vb", F.struct(b.alias("b"), seg.alias("s"), F.when(is_heavy, chunk_of(rn, size)).otherwise(F.lit(0)).alias("k"))) \
-        .drop("_mn", "_mx", "_hv")
+        .drop("_mn", "_mx", "_hv", "_cuts")
 
 
 def threshold_patterns(pair_rows: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -169,8 +171,9 @@ def lags(pair_rows: DataFrame, size: int = LAG_SIZE) -> DataFrame:
     """Shift in samples with the largest normalised cross-correlation, where it beats no shift by 0.05.
 
     Each (pair, chunk) carries the 100 neighbouring samples it needs and yields partial sums per shift, which are
-    then added up.
+    then added up. A shift counts kept rows, so the pair's rows are numbered anew before chunks are cut.
     """
+    pair_rows = dense_positions(pair_rows.withColumnRenamed("rn", "_at"), PAIR, [c("_at")], chunk_of("_at", max(size, MAX_LAG)), "rn").drop("_at")
     st = pair_rows.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n"), F.avg("va").alias("_ma"), F.stddev_pop("va").alias("_sa"), F.avg("vb").alias("_mb"),
         F.stddev_pop("vb").alias("_sb"), F.max("rn").alias("last_pos"))

@@ -9,12 +9,19 @@ from welltide.operators.series import CHUNK, attach, chunk_of
 
 
 def calibrate(meas: DataFrame, channels: DataFrame) -> DataFrame:
-    """Linear calibration and depth offset from the channel dimension (a few dozen rows per recorder)."""
-    return meas.join(F.broadcast(channels), "wits_id", "left").withColumns({
+    """Linear calibration and depth offset from the channel table, which belongs to (well, channel).
+
+    A table without ``well_id`` holds for all wells. Spark's size checks choose the join.
+    """
+    return meas.join(channels, _channel_key(channels), "left").withColumns({
         "calibrated": F.col("value") * F.coalesce("scale", F.lit(1.0)) + F.coalesce("bias", F.lit(0.0)),
         "depth_corrected": F.col("depth") + F.coalesce("depth_offset", F.lit(0.0))})
 
 
+def _channel_key(channels: DataFrame) -> list[str]:
+    return ["well_id", "wits_id"] if "well_id" in channels.columns else ["wits_id"]
+
+
 def visible(meas: DataFrame) -> DataFrame:
     return meas.where(F.col("hide") == 0)
 
@@ -102,7 +109,7 @@ def downsample(df: DataFrame, keys: list[str], n: int, size: int = CHUNK) -> Dat
 
 
 def convert_units(meas: DataFrame, channel_units: DataFrame, factors: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Value in the target unit of its channel; unknown pairs stay as they are. Both dimensions are code-sized."""
+    """Value in the target unit of its channel of its well (or of all wells); unknown pairs stay as they are."""
     plan = channel_units.join(factors, ["from_unit", "to_unit"], "left")
-    return meas.join(F.broadcast(plan), "wits_id", "left").withColumn(
+    return meas.join(plan, _channel_key(channel_units), "left").withColumn(
         "converted", F.col("value") * F.coalesce("factor", F.lit(1.0)))

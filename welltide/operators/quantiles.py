@@ -24,7 +24,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
     """keys + one column per entry of ``probs``; nulls are ignored. Rows need a position column.
 
     Groups whose positions stay below ``small`` come straight from one aggregation, whose buffers never hold more
-    than ``small`` values. Only larger groups, if there are any, take the bracket search.
+    than ``small`` values; larger groups take the bracket search in the same plan.
     """
     keys = list(keys)
     v = df.select(*keys, pos, value.cast("double").alias("_v")).where("_v is not null")
@@ -39,8 +39,6 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
         F.percentile_approx("_v", [float(w) for w in wanted], accuracy).alias("_q")), "percentiles")
     done = g.where(F.col("last_pos") < small).select(*keys, *[F.col("_exact")[i].alias(n) for i, (n, _) in enumerate(ps)])
     g = g.where(F.col("last_pos") >= small).drop("_exact")
-    if g.isEmpty():
-        return done
     # Sparse groups take all their values; at the very ends the exact extremes bound the bracket.
     sparse = F.col("_n") <= 2 * accuracy
     lo = [F.when(sparse | F.lit(wanted[i] == 0.0), F.col("_min")).otherwise(F.col("_q")[i]) for i in range(k)]

@@ -15,7 +15,9 @@ def channel_census(meas: DataFrame, assignments: DataFrame | None = None) -> Dat
         F.count("value").alias("n_points"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"),
         F.min_by("ts", "pos").alias("ts_first"), F.max_by("ts", "pos").alias("ts_last"),
         F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max"))
-    return c if assignments is None else c.join(F.broadcast(assignments), "wits_id", "left")
+    if assignments is None:
+        return c
+    return c.join(assignments, ["well_id", "wits_id"] if "well_id" in assignments.columns else ["wits_id"], "left")
 
 
 def channel_stats(df: DataFrame, keys: list[str], v: str) -> DataFrame:

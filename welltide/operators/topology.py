@@ -1,7 +1,7 @@
 """Depth-bin vectors, their distances and what follows from them: graphs, components, bars and curves.
 
-Everything pairwise works on depth bins, never on samples. A well has at most MAX_BINS bins, so its pairs are
-bounded by MAX_BINS * (MAX_BINS - 1) / 2 whatever the number of samples.
+Everything pairwise works on depth bins, never on samples. A well has as many bins as the caller asks for, so its
+pairs are bounded by n_bins * (n_bins - 1) / 2 whatever the number of samples.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from welltide.operators.series import CHUNK, attach
 from welltide.session import stage
 
 c = F.col
-MAX_BINS = 200
 
 
 def bin_vectors(wide: DataFrame, channels: Sequence[str], n_bins: int = 100, depth: str = "depth_md", size: int = CHUNK) -> DataFrame:
@@ -26,7 +25,8 @@ def bin_vectors(wide: DataFrame, channels: Sequence[str], n_bins: int = 100, dep
     A bin reaches half a step to both sides, ends included, so a sample on an edge counts in two bins. Bins missing
     a channel are dropped and the rest keep their numbers.
     """
-    n_bins = min(n_bins, MAX_BINS)
+    if n_bins < 2:
+        raise ValueError("at least two bins")
     lim = wide.groupBy("well_id").agg(F.min(depth).alias("_a"), F.max(depth).alias("_b"), F.max("pos").alias("last_pos"))
     lim = lim.withColumn("_st", (c("_b") - c("_a")) / F.lit(float(n_bins - 1)))
     d = attach(wide.select("well_id", "pos", c(depth).alias("_d"), *channels), lim, ["well_id"], size=size)
@@ -110,7 +110,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "well_id
 # --- spanning trees and what they give -----------------------------------------------------------------
 
 def _tree(g: pd.DataFrame) -> pd.DataFrame:
-    """Minimum spanning tree of one well's bins, merged in order of weight (at most MAX_BINS nodes)."""
+    """Minimum spanning tree of one well's bins, merged in order of weight (as many nodes as bins were asked for)."""
     g = g.sort_values("bin")
     bins, x = g["bin"].to_numpy(), np.vstack(g["vec"].to_numpy())
     n = len(bins)

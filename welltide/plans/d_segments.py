@@ -9,19 +9,19 @@ from welltide.operators import stats as S
 from welltide.operators.quantiles import exact_percentiles
 from welltide.operators.series import bounded, carry
 from welltide.plans.registry import query
-from welltide.session import stage
+from welltide.session import input_mark, stage
 from welltide.sources.tables import WIDE_SQL, drill_wide
 
 c = F.col
 MIN_SAMPLES = 10
 HOLD = max(3, MIN_SAMPLES // 10)
 
-_tables: dict[tuple[str, str, str], object] = {}
+_tables: dict[tuple, object] = {}
 
 
 def shared(spark, sf, label, build):
-    """A staged table several queries read, written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf, label)
+    """A staged table several queries read, written once per application and state of the data folder."""
+    key = (spark.sparkContext.applicationId, sf, input_mark(spark, sf), label)
     if key not in _tables:
         _tables[key] = stage(build(), label)
     return _tables[key]

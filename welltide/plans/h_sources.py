@@ -13,19 +13,21 @@ from welltide.plans.b_physics import MSE
 from welltide.plans.c_joins import MIN_POINTS, present_channels
 from welltide.plans.d_segments import shared, wide_table
 from welltide.plans.registry import query
-from welltide.session import scratch_path
+from welltide.session import input_mark, scratch_path
 from welltide.sources import dims, dumps, files
 from welltide.sources.tables import EVENT_CHANNELS, MEAS_SQL, WIDE_SQL, measurements, table
 
 c = F.col
 RIGS = 24
 EPOCH = 1700000000000
-_folders: dict[tuple[str, str, str], str] = {}
+OLDER, LATER = EPOCH - 1000, EPOCH + 5
+SETTINGS = [("0108", "Hole Depth"), ("0130", "Flow In"), ("1984", "")]
+_folders: dict[tuple, str] = {}
 
 
 def folder(spark, sf, label, write):
-    """A folder written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf, label)
+    """A folder written once per application and state of the data folder."""
+    key = (spark.sparkContext.applicationId, sf, input_mark(spark, sf), label)
     if key not in _folders:
         path = scratch_path(spark, label)
         write(path)
@@ -37,11 +39,11 @@ def rig(k):
     return F.concat(F.lit("10.0.0."), (k % RIGS).cast("string"))
 
 
-def rig_samples(spark, sf):
+def rig_samples(spark, sf, epoch=EPOCH):
     """The events table as one recorder per rig (24 rigs share the wells)."""
     e = table(spark, sf, "events")
     wits = F.create_map(*[F.lit(x) for kv in EVENT_CHANNELS.items() for x in kv])[c("event_type")]
-    d = e.select(rig(c("user_id")).alias("ip"), F.lit(EPOCH).alias("epoch_ms"), wits.alias("wits_id"), c("ts").cast("timestamp").alias("ts"), "event_id",
+    d = e.select(rig(c("user_id")).alias("ip"), F.lit(epoch).alias("epoch_ms"), wits.alias("wits_id"), c("ts").cast("timestamp").alias("ts"), "event_id",
                  (F.lit(5000.0) + c("event_id") * F.lit(0.1)).alias("depth"), F.when(c("event_id") % 50 > 0, c("value")).alias("value"), (c("event_id") % 2).alias("hide"))
     return dense_positions(d, ["ip", "epoch_ms", "wits_id"], [c("ts"), c("event_id")], F.unix_date(F.to_date("ts")).cast("long"))
 
@@ -60,7 +62,11 @@ def rig_ids(spark, sf):
 
 
 def depth_folder(spark, sf):
-    return folder(spark, sf, "depth-dumps", lambda p: dumps.write_depth_dump(rig_samples(spark, sf), rig_ids(spark, sf), p))
+    """Two dumps per recorder: an older one with a tenth of the samples, then the one that counts."""
+    def write(p):
+        dumps.write_depth_dump(rig_samples(spark, sf, OLDER).where("event_id % 10 = 0"), rig_ids(spark, sf).where("false"), p)
+        dumps.write_depth_dump(rig_samples(spark, sf), rig_ids(spark, sf), p)
+    return folder(spark, sf, "depth-dumps", write)
 
 
 def time_rows(spark, sf):
@@ -74,7 +80,17 @@ def time_rows(spark, sf):
 
 
 def time_folder(spark, sf):
-    return folder(spark, sf, "time-dumps", lambda p: dumps.write_time_dump(time_rows(spark, sf), p))
+    """The time dump beside each depth dump, with settings, and a later one with a seventh of its rows."""
+    def write(p):
+        rows = time_rows(spark, sf)
+        cfg = rows.select("ip", "epoch_ms").distinct().withColumn("s", F.explode(F.array(*[F.struct(F.lit(w).alias("witsid"), F.lit(d).alias("description")) for w, d in SETTINGS])))
+        dumps.write_time_dump(rows, p, settings=cfg.select("ip", "epoch_ms", "s.*", F.lit(0.0).alias("min"), F.lit(100.0).alias("max")))
+        dumps.write_time_dump(rows.where("o_orderkey % 7 = 0").withColumn("epoch_ms", F.lit(LATER)), p)
+    return folder(spark, sf, "time-dumps", write)
+
+
+def chosen_pairs(spark, sf):
+    return dumps.pairs(dumps.discover(spark, depth_folder(spark, sf)).unionByName(dumps.discover(spark, time_folder(spark, sf))))
 
 
 def depth_tables(spark, sf):
@@ -86,43 +102,46 @@ def time_table(spark, sf):
     return shared(spark, sf, "time-samples", lambda: dumps.time_dump(spark, time_folder(spark, sf))[1])
 
 
+def time_settings(spark, sf):
+    return dumps.time_dump(spark, time_folder(spark, sf))[0]
+
+
 IP = lambda k: f"'10.0.0.' || ({k} % {RIGS})"
 WID = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{w}'" for e, w in EVENT_CHANNELS.items()) + " END"
 RIG_SQL = f"rs AS (SELECT {IP('user_id')} AS ip, {WID} AS wits_id, ts, event_id, 5000.0::DOUBLE + event_id * 0.1::DOUBLE AS depth, CASE WHEN event_id % 50 > 0 THEN value END AS value, event_id % 2 AS hide FROM events)"
 TIME_SQL = f"""tr AS (SELECT {IP('o_custkey')} AS ip, o_orderdate AS ts, o_orderkey, row_number() OVER (PARTITION BY o_custkey % {RIGS} ORDER BY o_orderdate, o_orderkey) AS r, o_totalprice FROM orders),
- tg AS (SELECT * FROM tr WHERE o_orderkey % 40 <> 0), ts AS (SELECT ip, ts, r, '0108' AS wits_id, o_orderkey * 0.5 AS value FROM tg UNION ALL SELECT ip, ts, r, '0130', o_totalprice FROM tg UNION ALL SELECT ip, ts, r, '1984', NULL FROM tg)"""
+ tg AS (SELECT * FROM tr WHERE o_orderkey % 40 <> 0), ts AS (SELECT ip, ts, r, o_orderkey, '0108' AS wits_id, o_orderkey * 0.5 AS value FROM tg UNION ALL SELECT ip, ts, r, o_orderkey, '0130', o_totalprice FROM tg UNION ALL SELECT ip, ts, r, o_orderkey, '1984', NULL FROM tg)"""
 
 
-@query("depth_dump_scan", f"WITH {RIG_SQL} SELECT ip, wits_id, count(*) AS n, count(value) AS n_valid, avg(value) AS mean, max(depth) AS bottom, min(ts) AS first_ts, sum(hide) AS hidden, count(*) - 1 AS last_pos FROM rs GROUP BY 1, 2", dbl="mean bottom", whole="hidden")
+@query("depth_dump_scan", f"WITH {RIG_SQL}, ds AS (SELECT {EPOCH}::BIGINT AS epoch_ms, * FROM rs UNION ALL SELECT {OLDER}, * FROM rs WHERE event_id % 10 = 0) SELECT ip, epoch_ms, wits_id, count(*) AS n, count(value) AS n_valid, avg(value) AS mean, max(depth) AS bottom, min(ts) AS first_ts, sum(hide) AS hidden, count(*) - 1 AS last_pos FROM ds GROUP BY 1, 2, 3", dbl="mean bottom", whole="hidden")
 def q_depth(spark, sf):
     _, s = depth_tables(spark, sf)
-    return s.groupBy("ip", "wits_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.max("depth").alias("bottom"),
+    return s.groupBy("ip", "epoch_ms", "wits_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.max("depth").alias("bottom"),
                                           F.min("ts").alias("first_ts"), F.sum("hide").alias("hidden"), F.max("pos").alias("last_pos"))
 
 
-@query("time_dump_scan", f"WITH {TIME_SQL} SELECT ip, wits_id, count(*) AS n, count(value) AS n_valid, avg(value) AS mean, max(ts) AS last_ts FROM ts GROUP BY 1, 2", dbl="mean:2")
+@query("time_dump_scan", f"WITH {TIME_SQL}, ds AS (SELECT {EPOCH + 1}::BIGINT AS epoch_ms, * FROM ts UNION ALL SELECT {LATER}, * FROM ts WHERE o_orderkey % 7 = 0) SELECT ip, epoch_ms, wits_id, count(*) AS n, count(value) AS n_valid, avg(value) AS mean, max(ts) AS last_ts FROM ds GROUP BY 1, 2, 3", dbl="mean:2")
 def q_time(spark, sf):
-    return time_table(spark, sf).groupBy("ip", "wits_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.max("ts").alias("last_ts"))
+    return time_table(spark, sf).groupBy("ip", "epoch_ms", "wits_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.max("ts").alias("last_ts"))
 
 
 @query("companion_merge", f"""WITH {RIG_SQL}, {TIME_SQL}, dl AS (SELECT ip, ts, max_by(value, r) AS depth FROM ts WHERE wits_id = '0108' GROUP BY 1, 2),
  u AS (SELECT ip, wits_id, ts, depth, value, 'depth' AS origin FROM rs UNION ALL SELECT t.ip, t.wits_id, t.ts, a.depth, t.value, 'time' FROM ts t LEFT JOIN dl a ON a.ip = t.ip AND a.ts = t.ts)
  SELECT ip, wits_id, origin, count(*) AS n, avg(depth) AS mean_depth, avg(value) AS mean_value FROM u GROUP BY 1, 2, 3""", dbl="mean_depth:2 mean_value:2")
 def q_merge(spark, sf):
-    m = dumps.merge_companion(depth_tables(spark, sf)[1], time_table(spark, sf))
+    m = dumps.merge_companion(depth_tables(spark, sf)[1], time_table(spark, sf), chosen_pairs(spark, sf))
     return m.groupBy("ip", "wits_id", "origin").agg(F.count(F.lit(1)).alias("n"), F.avg("depth").alias("mean_depth"), F.avg("value").alias("mean_value"))
 
 
 @query("merged_order", f"""WITH {RIG_SQL}, {TIME_SQL}, u AS (SELECT ip, wits_id, ts, event_id AS k, value, 0 AS s FROM rs UNION ALL SELECT ip, wits_id, ts, r, value, 1 FROM ts)
  SELECT ip, wits_id, row_number() OVER (PARTITION BY ip, wits_id ORDER BY ts, s, k) - 1 AS pos, value FROM u""", dbl="value")
 def q_order(spark, sf):
-    return dumps.merge_companion(depth_tables(spark, sf)[1], time_table(spark, sf)).select("ip", "wits_id", "pos", "value")
+    return dumps.merge_companion(depth_tables(spark, sf)[1], time_table(spark, sf), chosen_pairs(spark, sf)).select("ip", "wits_id", "pos", "value")
 
 
 @query("dump_pairs", f"SELECT DISTINCT {IP('user_id')} AS ip, {EPOCH}::BIGINT AS depth_epoch, {EPOCH + 1}::BIGINT AS time_epoch FROM events")
 def q_pairs(spark, sf):
-    f = dumps.discover(spark, depth_folder(spark, sf)).unionByName(dumps.discover(spark, time_folder(spark, sf)))
-    return dumps.pairs(f)
+    return chosen_pairs(spark, sf)
 
 
 ID_SQL = f"""SELECT {IP('p_partkey')} AS ip, CASE WHEN p_partkey // {RIGS} < 5 THEN list_extract({list(EVENT_CHANNELS.values())}, (p_partkey // {RIGS})::INT + 1) ELSE lpad((p_partkey + 10000)::VARCHAR, 6, '0') END AS wits_id,
@@ -137,11 +156,11 @@ def q_ids(spark, sf):
     return ids.select("ip", "wits_id", "mnemonic", "description", "source", "bias", "scale", "log_by", F.size("changelog").alias("n_changes"))
 
 
-@query("merged_channels", f"""WITH {RIG_SQL}, {TIME_SQL}, d AS (SELECT DISTINCT ip, wits_id FROM rs), t AS (SELECT DISTINCT ip, wits_id FROM ts) SELECT ip, wits_id, false AS time_only FROM d UNION ALL SELECT ip, wits_id, true FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.ip = t.ip AND d.wits_id = t.wits_id)""")
+@query("merged_channels", f"""WITH {RIG_SQL}, {TIME_SQL}, d AS (SELECT DISTINCT ip, wits_id FROM rs), t AS (SELECT DISTINCT ip, wits_id FROM ts) SELECT ip, wits_id, false AS time_only, NULL AS mnemonic FROM d UNION ALL SELECT ip, wits_id, true, coalesce(nullif(CASE wits_id {' '.join(f"WHEN '{w}' THEN '{d}'" for w, d in SETTINGS)} END, ''), wits_id) FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.ip = t.ip AND d.wits_id = t.wits_id)""")
 def q_channels(spark, sf):
-    cfg = spark.createDataFrame([], "ip string, epoch_ms bigint, wits_id string, description string, min_y double, max_y double")
-    m = dumps.merged_channels(depth_tables(spark, sf)[0], time_table(spark, sf), cfg)
-    return m.select("ip", "wits_id", (c("source") == "TIMEONLY").alias("time_only"))
+    m = dumps.merged_channels(depth_tables(spark, sf)[0], time_table(spark, sf), time_settings(spark, sf), chosen_pairs(spark, sf))
+    only = c("source") == "TIMEONLY"
+    return m.select("ip", "wits_id", only.alias("time_only"), F.when(only, c("mnemonic")).alias("mnemonic"))
 
 
 # --- delimited logs ------------------------------------------------------------------------------------

@@ -84,6 +84,13 @@ def release(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def input_mark(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Number of files and bytes below a folder; differs once new data has landed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p)
+    return s.getFileCount(), s.getLength()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_dir(spark), "welltide", f"{label}-{uuid.uuid4().hex}")
 

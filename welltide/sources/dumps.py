@@ -107,19 +107,20 @@ def depth_samples(lines: DataFrame) -> DataFrame:
     """Samples of the channel blocks in file order; lines with fewer than five fields are dropped."""
     d = lines.where(c("block").rlike(r"^T\d+$")).withColumn("_p", F.split("value", "\t")).where(F.size("_p") >= 5)
     p = lambda i: F.when(F.get("_p", i) != "\\N", F.get("_p", i))
-    return d.select("ip", "epoch_ms", F.substring("block", 2, 100).alias("wits_id"), F.try_to_timestamp(p(1)).alias("ts"), number(p(2)).alias("depth"),
+    return d.select("ip", "epoch_ms", F.expr("substring(block, 2)").alias("wits_id"), F.try_to_timestamp(p(1)).alias("ts"), number(p(2)).alias("depth"),
                     number(p(3)).alias("value"), F.coalesce(p(4).try_cast("int"), F.lit(0)).alias("hide"), "file", "split", "line")
 
 
 def numbered(samples: DataFrame) -> DataFrame:
     """Add ``pos`` in file order per dump and channel. Splits bound the numbering tasks."""
     key = F.concat(c("file"), F.lit("#"), F.lpad(c("split").cast("string"), 15, "0"))
-    return dense_positions(samples, ["ip", "epoch_ms", "wits_id"], [c("line")], key).drop("file", "split", "line")
+    order = [c("line"), *([c("_i")] if "_i" in samples.columns else [])]
+    return dense_positions(samples, ["ip", "epoch_ms", "wits_id"], order, key).drop("file", "split", "line", "_i")
 
 
 def depth_dump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(channels, samples) of all depth dumps; channels without samples are dropped."""
-    lines = stage(dump_lines(spark, folder, False), "depth-lines")
+    lines = dump_lines(spark, folder, False)
     s = numbered(depth_samples(lines))
     have = s.select("ip", "epoch_ms", "wits_id").distinct()
     ch = have.join(id_table(lines), ["ip", "epoch_ms", "wits_id"], "left").withColumn("is_computed", is_computed(c("wits_id")))
@@ -134,12 +135,12 @@ def time_samples(lines: DataFrame) -> DataFrame:
     d = d.where("ts is not null").select("ip", "epoch_ms", "file", "split", "line", "ts", F.posexplode(F.split(rest, ",")).alias("_i", "_tok")).where(F.contains("_tok", F.lit("=")))
     eq = F.instr("_tok", "=")
     return d.select("ip", "epoch_ms", F.trim(F.substring_index("_tok", "=", 1)).alias("wits_id"), "ts",
-                    number(F.trim(F.substr("_tok", eq + 1))).alias("value"), "file", "split", (c("line") * 10000 + c("_i")).alias("line"))
+                    number(F.trim(F.substr("_tok", eq + 1))).alias("value"), "file", "split", "line", "_i")
 
 
 def time_dump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(channel settings, samples) of all time dumps."""
-    lines = stage(dump_lines(spark, folder, True), "time-lines")
+    lines = dump_lines(spark, folder, True)
     d = lines.where("block = 'witsidcfg'").withColumn("_p", F.split("value", "\t"))
     f = lambda n: field(c("_p"), c("columns"), n)
     cfg = d.where(F.trim(f("witsid")) != "").select("ip", "epoch_ms", F.trim(f("witsid")).alias("wits_id"), F.coalesce(f("description"), F.lit("")).alias("description"),
@@ -147,22 +148,33 @@ def time_dump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return cfg, numbered(time_samples(lines))
 
 
-def merge_companion(depth: DataFrame, time: DataFrame, depth_wits: str = "0108") -> DataFrame:
+def of_pairs(rows: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
+    """The rows of each recorder's chosen dump; ``kind``: depth or time."""
+    keep = chosen.select("ip", c(f"{kind}_epoch").alias("epoch_ms")).where("epoch_ms is not null").distinct()
+    return rows.join(keep, ["ip", "epoch_ms"], "left_semi")
+
+
+def merge_companion(depth: DataFrame, time: DataFrame, chosen: DataFrame, depth_wits: str = "0108") -> DataFrame:
     """Time samples beside the depth samples of the same recorder and channel, in time order.
 
-    A time sample's depth is the hole-depth channel at the same instant (the last one written); none leaves it null.
+    Only the dumps that ``pairs`` has chosen are merged. A time sample's depth is the hole-depth channel at the same
+    instant (the last one written); none leaves it null.
     """
+    depth, time = of_pairs(depth, chosen, "depth"), of_pairs(time, chosen, "time")
     at = time.where(c("wits_id") == depth_wits).groupBy("ip", "ts").agg(F.max_by("value", "pos").alias("depth"))
     t = time.drop("epoch_ms").join(at, ["ip", "ts"], "left").select("ip", "wits_id", "ts", "depth", "value", F.lit(0).alias("hide"), "pos", F.lit(1).alias("_src"))
     d = depth.select("ip", "wits_id", "ts", "depth", "value", "hide", "pos", F.lit(0).alias("_src"))
     u = d.unionByName(t)
-    day = F.coalesce(F.unix_date(F.to_date("ts")), F.lit(1 << 30)).cast("long")
-    return dense_positions(u.withColumnRenamed("pos", "_p"), ["ip", "wits_id"], [c("ts").asc_nulls_last(), c("_src"), c("_p")], day) \
+    # Rows without a time come last, in pieces of their file order (depth rows before time rows).
+    loose = F.lit(1 << 40) + c("_src") * F.lit(1 << 45) + F.floor(c("pos") / F.lit(1 << 20))
+    day = F.coalesce(F.unix_date(F.to_date("ts")).cast("long"), loose.cast("long"))
+    return dense_positions(u.withColumn("_day", day).withColumnRenamed("pos", "_p"), ["ip", "wits_id"], [c("ts").asc_nulls_last(), c("_src"), c("_p")], c("_day")) \
         .select("ip", "wits_id", "pos", "ts", "depth", "value", "hide", F.when(c("_src") == 1, "time").otherwise("depth").alias("origin"))
 
 
-def merged_channels(depth_channels: DataFrame, time: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Channel table after the merge; channels only in the time dump get neutral calibration."""
+def merged_channels(depth_channels: DataFrame, time: DataFrame, cfg: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Channel table after the merge of the chosen dumps; channels only in the time dump get neutral calibration."""
+    depth_channels, time, cfg = of_pairs(depth_channels, chosen, "depth"), of_pairs(time, chosen, "time"), of_pairs(cfg, chosen, "time")
     new = time.select("ip", "wits_id").distinct().join(depth_channels.select("ip", "wits_id"), ["ip", "wits_id"], "left_anti")
     n = new.join(cfg.drop("epoch_ms"), ["ip", "wits_id"], "left").select(
         "ip", "wits_id", F.coalesce(F.when(c("description") != "", c("description")), c("wits_id")).alias("mnemonic"), F.lit("TIMEONLY").alias("source"),
@@ -207,13 +219,22 @@ def write_depth_dump(samples: DataFrame, channels: DataFrame, folder: str, rows_
     _write(s.unionByName(top).unionByName(end).unionByName(ids).unionByName(idt).unionByName(ide), folder, "")
 
 
-def write_time_dump(rows: DataFrame, folder: str, rows_per_file: int = 1 << 20) -> None:
-    """Write time rows (ip, epoch_ms, pos, value = finished line) as time-dump folders."""
+def write_time_dump(rows: DataFrame, folder: str, rows_per_file: int = 1 << 20, settings: DataFrame | None = None) -> None:
+    """Write time rows (ip, epoch_ms, pos, value = finished line) as time-dump folders, with channel settings (ip, epoch_ms, witsid,
+    description, min, max) if given."""
     s = rows.select("ip", "epoch_ms", F.lit("timedata").alias("wits_id"), F.floor(c("pos") / rows_per_file).alias("part"), c("pos").alias("_o"), "value")
     head = s.select("ip", "epoch_ms", "wits_id", "part").distinct()
     top = head.select("*", F.lit(-1).cast("long").alias("_o"), F.lit("COPY public.timedata (timedate, realtime) FROM stdin;").alias("value"))
     end = head.select("*", F.lit((1 << 63) - 1).alias("_o"), F.lit("\\.").alias("value"))
-    _write(s.unionByName(top).unionByName(end), folder, "timedata_")
+    every = s.unionByName(top).unionByName(end)
+    if settings is not None:
+        cols = ["witsid", "description", "min", "max"]
+        own = settings.select("ip", "epoch_ms", F.lit("witsidcfg").alias("wits_id"), F.lit(0).cast("long").alias("part"), F.abs(F.xxhash64("witsid")).alias("_o"),
+                              F.concat_ws("\t", *[_text(c(x)) for x in cols]).alias("value"))
+        hd = settings.select("ip", "epoch_ms").distinct().select("ip", "epoch_ms", F.lit("witsidcfg").alias("wits_id"), F.lit(0).cast("long").alias("part"))
+        every = every.unionByName(own).unionByName(hd.select("*", F.lit(-1).cast("long").alias("_o"), F.lit(f"COPY public.witsidcfg ({', '.join(cols)}) FROM stdin;").alias("value"))) \
+            .unionByName(hd.select("*", F.lit((1 << 63) - 1).alias("_o"), F.lit("\\.").alias("value")))
+    _write(every, folder, "timedata_")
 
 
 def _write(lines: DataFrame, folder: str, kind: str) -> None:
