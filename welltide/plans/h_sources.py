@@ -166,13 +166,18 @@ def q_channels(spark, sf):
 # --- delimited logs ------------------------------------------------------------------------------------
 
 def log_folder(spark, sf):
-    """Wide samples as semicolon-separated logs with vendor headers."""
+    """Wide samples as logs of three vendors: other delimiters, other headers, other column order."""
     def write(p):
         w = wide_table(spark, sf)
         t = F.when(c("pos") % 25 == 0, F.lit("n/a")).otherwise(F.date_format("ship_ts", "yyyy-MM-dd HH:mm:ss"))
-        w.select(c("well_id").alias("Well No"), c("pos").alias("Row"), c("depth_md").alias("Dept MD"), c("depth_tvd").alias("True Vert Depth"), c("rop").alias("ROP (ft/hr)"),
-                 F.when(c("pos") % 10 > 0, c("wob").cast("string")).otherwise("bad").alias("Weight on Bit"), c("spp").alias("Standpipe"), c("flow_in").alias("Flow In"),
-                 c("gamma_ray").alias("GR"), t.alias("Date Time"), c("choke_pressure").alias("My Extra!")).write.option("header", "true").option("sep", ";").csv(p)
+        wob = F.when(c("pos") % 10 > 0, c("wob").cast("string")).otherwise("bad")
+        one = [c("well_id").alias("Well No"), c("pos").alias("Row"), c("depth_md").alias("Dept MD"), c("depth_tvd").alias("True Vert Depth"), c("rop").alias("ROP (ft/hr)"),
+               wob.alias("Weight on Bit"), c("spp").alias("Standpipe"), c("flow_in").alias("Flow In"), c("gamma_ray").alias("GR"), t.alias("Date Time"), c("choke_pressure").alias("My Extra!")]
+        two = [wob.alias("SWOB"), c("gamma_ray").alias("SGR"), c("well_id").alias("Well No"), c("rop").alias("ROP"), c("depth_md").alias("DEPTH"), c("pos").alias("Row"), c("depth_tvd").alias("TVD"),
+               c("choke_pressure").alias("My Extra!"), t.alias("Time"), c("flow_in").alias("MFIA"), c("spp").alias("SPPA")]
+        three = [*reversed(two)]
+        for k, (cols, sep) in enumerate([(one, ";"), (two, ","), (three, "\t")]):
+            w.where(c("well_id") % 3 == k).select(*cols).write.option("header", "true").option("sep", sep).csv(f"{p}/vendor{k}")
     return folder(spark, sf, "logs", write)
 
 
@@ -186,11 +191,14 @@ def q_log(spark, sf):
                                     F.count("wob").alias("n_wob"), F.avg("gamma_ray").alias("gamma_ray"), F.count("timestamp").alias("n_times"), F.avg(c("my_extra").cast("double")).alias("my_extra"))
 
 
-@query("log_samples", f"WITH {WIDE_SQL}, l AS (SELECT well_id, 'rop' AS channel, rop AS v FROM wide UNION ALL SELECT well_id, 'spp', spp FROM wide UNION ALL SELECT well_id, 'gamma_ray', gamma_ray FROM wide UNION ALL SELECT well_id, 'flow_in', flow_in FROM wide) SELECT well_id::VARCHAR AS well_no, channel, count(*) AS n, avg(v) AS mean FROM l GROUP BY 1, 2", dbl="mean")
+LOGGED = {"depth_tvd": "depth_tvd", "rop": "rop", "wob": "CASE WHEN pos % 10 > 0 THEN wob END", "spp": "spp", "flow_in": "flow_in", "gamma_ray": "gamma_ray"}
+
+
+@query("log_samples", f"WITH {WIDE_SQL}, l AS ({' UNION ALL '.join(f"SELECT well_id, '{n}' AS channel, {v} AS v, depth_md AS d FROM wide" for n, v in LOGGED.items())}) SELECT well_id::VARCHAR AS well_no, channel, count(*) AS n, avg(v) AS mean, avg(d) AS mean_depth FROM l WHERE v IS NOT NULL GROUP BY 1, 2", dbl="mean mean_depth:2")
 def q_logsamples(spark, sf):
     d = files.ingest(spark, log_folder(spark, sf), "csv")
-    return files.to_samples(d, "depth_md", ["well_no", "row"], ["rop", "spp", "gamma_ray", "flow_in"]).groupBy("well_no", "channel").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    return files.to_samples(d.withColumnRenamed("depth_md", "DEPTH"), None, ["well_no", "row"]).groupBy("well_no", "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.avg("depth").alias("mean_depth"))
 
 
 @query("directory_ingest", f"WITH {WIDE_SQL} SELECT count(*) AS n_rows, count(DISTINCT well_id) AS n_wells, sum(rop) AS total_rop FROM wide", dbl="total_rop:2")
