@@ -85,16 +85,17 @@ def depth_correlations(wide: DataFrame, key: str, x: str, channels: list[str], b
 
 
 def pair_correlations(df: DataFrame, keys: Sequence[str], channels: list[str]) -> DataFrame:
-    """Long table of correlations of all channel pairs in one aggregation (partial sums before the shuffle)."""
+    """Long table of correlations of all channel pairs: pairs become rows inside the scan and partial sums leave it.
+
+    The plan stays the same size for any number of channels.
+    """
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1:]]
-    both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
+    rows = F.array(*[F.struct(F.lit(a).alias("channel_a"), F.lit(b).alias("channel_b"), F.col(a).cast("double").alias("va"), F.col(b).cast("double").alias("vb")) for a, b in pairs])
+    both = F.col("va").isNotNull() & F.col("vb").isNotNull()
     # corr() divides by zero where a channel is constant; the squared forms give null there, one for each side.
-    r2 = lambda a, b: F.sqrt(F.when(F.regr_r2(b, a).isNotNull(), F.regr_r2(a, b)))
-    r = lambda a, b: F.signum(F.covar_pop(a, b)) * r2(a, b)
-    g = df.groupBy(*keys).agg(*[x for a, b in pairs for x in (r(a, b).alias(f"r|{a}|{b}"), both(a, b).alias(f"n|{a}|{b}"))])
-    rows = F.array(*[F.struct(F.lit(a).alias("channel_a"), F.lit(b).alias("channel_b"), F.col(f"n|{a}|{b}").alias("n"),
-                              F.col(f"r|{a}|{b}").alias("r")) for a, b in pairs])
-    return g.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*")
+    r2 = F.sqrt(F.when(F.regr_r2("vb", "va").isNotNull(), F.regr_r2("va", "vb")))
+    return df.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*").groupBy(*keys, "channel_a", "channel_b").agg(
+        F.count(F.when(both, 1)).alias("n"), (F.signum(F.covar_pop("va", "vb")) * r2).alias("r"))
 
 
 def merge_files(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

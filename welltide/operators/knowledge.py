@@ -253,11 +253,11 @@ def settle_shape(dev: Column) -> Column:
             .when((count(d, lambda x: x < 0) > F.size(d) * 0.5) & (mean(diffs(d)) > 0), "exponential_decay").otherwise("ramp"))
 
 
-def response_profiles(responses: DataFrame) -> DataFrame:
-    """Mean response per (well, channel, transition) with at least five occurrences; ties of shape by name."""
+def response_profiles(responses: DataFrame, least: int = 5) -> DataFrame:
+    """Mean response per (well, channel, transition) with at least ``least`` occurrences; ties of shape by name."""
     keys = ["well_id", "channel", "from_state", "to_state"]
     g = responses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("peak").alias("peak"), F.avg("settle_ft").alias("settle_ft"),
-                                     F.avg("settle_samples").alias("settle_samples")).where("n >= 5")
+                                     F.avg("settle_samples").alias("settle_samples")).where(c("n") >= least)
     s = responses.groupBy(*keys, "shape").agg(F.count(F.lit(1)).alias("_k")) \
         .groupBy(*keys).agg(F.min_by("shape", F.struct((-c("_k")).alias("k"), "shape")).alias("shape"))
     return g.join(s, keys)

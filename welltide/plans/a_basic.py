@@ -8,7 +8,7 @@ from welltide.operators import projections as P
 from welltide.operators import stats as S
 from welltide.plans.registry import query
 from welltide.sources import dims
-from welltide.sources.tables import (MEAS_SQL, WIDE_CHANNELS, WIDE_SQL, drill_wide, measurements, table,
+from welltide.sources.tables import (EVENT_CHANNELS, MEAS_SQL, WIDE_CHANNELS, WIDE_SQL, drill_wide, measurements, table,
                                      unpivot_channels)
 
 # Calibration of the five recorder channels the events table stands for (id, bias, scale, depth offset, unit, target).
@@ -94,7 +94,8 @@ def q_slice_channel(spark, sf):
     return P.slice_channels(measurements(spark, sf), ["0130", "0113"]).select("well_id", "wits_id", "pos", "value")
 
 
-CLOUD_COLS = ["gamma_ray", "rop", "wob", "flow_in", "apwd"]
+CLOUD_COLS = WIDE_CHANNELS
+IDS = list(EVENT_CHANNELS.values())
 
 
 @query("point_cloud", f"""WITH {WIDE_SQL}, {DEFS_SQL}, {long_sql(CLOUD_COLS)},
@@ -115,11 +116,9 @@ def q_denorm(spark, sf):
     return c.groupBy("well_id", "channel").agg(F.avg(P.denormalise(F.col("v"), F.col("low"), F.col("high"))).alias("mean_value"))
 
 
-@query("long_to_wide", f"""WITH {MEAS_SQL} SELECT well_id, ts, depth,
- max_by(value, pos) FILTER (wits_id = '0130') AS "0130", max_by(value, pos) FILTER (wits_id = '0120') AS "0120",
- max_by(value, pos) FILTER (wits_id = '0112') AS "0112" FROM meas GROUP BY 1, 2, 3""", dbl="depth")
+@query("long_to_wide", f"WITH {MEAS_SQL} SELECT well_id, ts, depth, {', '.join(f'max_by(value, pos) FILTER (wits_id = {chr(39)}{w}{chr(39)}) AS {chr(34)}{w}{chr(34)}' for w in IDS)} FROM meas GROUP BY 1, 2, 3", dbl="depth")
 def q_to_wide(spark, sf):
-    return P.to_wide(measurements(spark, sf), ["0130", "0120", "0112"])
+    return P.to_wide(measurements(spark, sf), IDS)
 
 
 @query("sentinel_cleanup", """SELECT l_suppkey AS well_id, sum(CASE WHEN l_discount = 0.05 THEN 1 ELSE 0 END) AS nulled,
@@ -133,15 +132,11 @@ def q_sentinel(spark, sf):
 
 
 @query("position_aligned", f"""WITH {MEAS_SQL},
- n AS (SELECT well_id, wits_id, max(pos) m FROM meas WHERE wits_id IN ('0130', '0120', '0112') GROUP BY 1, 2),
- cut AS (SELECT well_id, min(m) AS cut FROM n GROUP BY 1)
- SELECT well_id, pos, max(value) FILTER (wits_id = '0130') AS flow_in, max(value) FILTER (wits_id = '0120') AS rpm,
-  max(value) FILTER (wits_id = '0112') AS block_position
- FROM meas JOIN cut USING (well_id) WHERE pos <= cut GROUP BY 1, 2""", dbl="flow_in rpm block_position")
+ n AS (SELECT well_id, wits_id, max(pos) m FROM meas GROUP BY 1, 2), cut AS (SELECT well_id, min(m) AS cut FROM n GROUP BY 1)
+ SELECT well_id, pos, {', '.join(f"max(value) FILTER (wits_id = '{w}') AS c{w}" for w in IDS)}
+ FROM meas JOIN cut USING (well_id) WHERE pos <= cut GROUP BY 1, 2""", dbl=" ".join(f"c{w}" for w in IDS))
 def q_aligned(spark, sf):
-    a = P.align_by_position(measurements(spark, sf), ["0130", "0120", "0112"])
-    return a.select("well_id", "pos", F.col("0130").alias("flow_in"), F.col("0120").alias("rpm"),
-                    F.col("0112").alias("block_position"))
+    return P.align_by_position(measurements(spark, sf), IDS).select("well_id", "pos", *[F.col(w).alias(f"c{w}") for w in IDS])
 
 
 @query("recent_1000ft", f"""WITH {WIDE_SQL}, last AS (SELECT well_id, max_by(depth_md, pos) AS d FROM wide GROUP BY 1)
@@ -190,23 +185,23 @@ def q_census(spark, sf):
     return S.channel_census(measurements(spark, sf), w)
 
 
-@query("quality_summary", f"""WITH {WIDE_SQL}, {long_sql(['rop', 'rpm', 'flow_in', 'wob'])},
+@query("quality_summary", f"""WITH {WIDE_SQL}, {long_sql()},
  l AS (SELECT well_id, channel, CASE WHEN v < 5 THEN NULL ELSE v END AS v FROM long),
  p AS (SELECT well_id, channel, count(*) n, count(v) nv FROM l GROUP BY 1, 2)
  SELECT well_id, count(*) AS n_channels, sum(n) AS total_measurements, sum(n - nv) AS n_missing,
   round(1.0::DOUBLE - sum(n - nv) / sum(n), 4) AS quality_score, round(1.0::DOUBLE - sum(n - nv) / sum(n), 4) < 0.5 AS poor FROM p GROUP BY 1""",
        dbl="quality_score", whole="n_missing total_measurements")
 def q_quality(spark, sf):
-    l = wide_long(spark, sf, ["rop", "rpm", "flow_in", "wob"])
+    l = wide_long(spark, sf)
     return S.quality_summary(l.withColumn("v", F.when(F.col("v") >= 5, F.col("v"))))
 
 
-@query("null_counts", f"""WITH {WIDE_SQL}, {long_sql(['rop', 'rpm', 'torque', 'wob'])},
+@query("null_counts", f"""WITH {WIDE_SQL}, {long_sql()},
  l AS (SELECT well_id, channel, CASE WHEN v < 2 THEN NULL ELSE v END AS v FROM long),
  p AS (SELECT well_id, channel, count(*) - count(v) AS n_null FROM l GROUP BY 1, 2)
  SELECT well_id, sum((n_null = 0)::INT) AS clean_channels, sum((n_null > 0)::INT) AS channels_with_nulls, sum(n_null) AS null_samples FROM p GROUP BY 1""", whole="channels_with_nulls clean_channels null_samples")
 def q_nulls(spark, sf):
-    l = wide_long(spark, sf, ["rop", "rpm", "torque", "wob"])
+    l = wide_long(spark, sf)
     return S.null_counts(l.withColumn("v", F.when(F.col("v") >= 2, F.col("v"))))
 
 

@@ -83,7 +83,8 @@ def q_resample(spark, sf):
     return J.resample(grid, s, ["well_id", "wits_id"], "depth", "value", depth_bucket())
 
 
-CH = [("0130", "flow_in"), ("0120", "rpm"), ("0113", "rop")]
+CH = [("0130", "flow_in"), ("0120", "rpm"), ("0113", "rop"), ("0112", "block_position"), ("0117", "wob")]
+PAIRS = [(a, b) for i, (_, a) in enumerate(CH) for _, b in CH[i + 1:]]
 
 
 def _interp_sql(w):
@@ -92,10 +93,9 @@ def _interp_sql(w):
  i{w} AS (SELECT well_id, depth, CASE WHEN x0 = depth THEN v0 WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN v0 + (depth - x0) / (x1 - x0) * (v1 - v0) END AS v FROM hi{w})"""
 
 
-@query("correlation_matrix", f"""{M}, g AS (SELECT well_id, depth FROM meas WHERE wits_id IN ('0130', '0120', '0113')), {', '.join(_interp_sql(w) for w, _ in CH)},
- j AS (SELECT a.well_id, a.v AS flow_in, b.v AS rpm, d.v AS rop FROM i0130 a JOIN i0120 b USING (well_id, depth) JOIN i0113 d USING (well_id, depth) WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND d.v IS NOT NULL)
- SELECT well_id, 'flow_in' AS channel_a, 'rpm' AS channel_b, count(*) AS n, corr(flow_in, rpm) AS r FROM j GROUP BY 1 HAVING count(*) > 1
- UNION ALL SELECT well_id, 'flow_in', 'rop', count(*), corr(flow_in, rop) FROM j GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT well_id, 'rpm', 'rop', count(*), corr(rpm, rop) FROM j GROUP BY 1 HAVING count(*) > 1""", dbl="r:6")
+@query("correlation_matrix", f"""{M}, g AS (SELECT well_id, depth FROM meas), {', '.join(_interp_sql(w) for w, _ in CH)},
+ j AS (SELECT i0130.well_id, {', '.join(f'i{w}.v AS {n}' for w, n in CH)} FROM i0130 {' '.join(f'JOIN i{w} USING (well_id, depth)' for w, _ in CH[1:])} WHERE {' AND '.join(f'i{w}.v IS NOT NULL' for w, _ in CH)})
+ {' UNION ALL '.join(f"SELECT well_id, '{a}' AS channel_a, '{b}' AS channel_b, count(*) AS n, corr({a}, {b}) AS r FROM j GROUP BY 1 HAVING count(*) > 1" for a, b in PAIRS)}""", dbl="r:6")
 def q_corr(spark, sf):
     m = measurements(spark, sf)
     w = m.select("well_id", "depth", *[F.when(c("wits_id") == i, c("value")).alias(n) for i, n in CH]).where(
@@ -103,7 +103,7 @@ def q_corr(spark, sf):
     return J.depth_correlations(w, "well_id", "depth", [n for _, n in CH], depth_bucket()).where("n > 1")
 
 
-@query("outer_merge", f"""WITH {WIDE_SQL}, a AS (SELECT well_id, depth_md, rop, wob FROM wide WHERE pos % 3 <> 0), b AS (SELECT well_id, depth_md, rop + 1000 AS rop, torque FROM wide WHERE pos % 2 = 0)
+@query("outer_merge", f"""WITH {WIDE_SQL.replace("wide AS (", "wide AS MATERIALIZED (", 1)}, a AS (SELECT well_id, depth_md, rop, wob FROM wide WHERE pos % 3 <> 0), b AS (SELECT well_id, depth_md, rop + 1000 AS rop, torque FROM wide WHERE pos % 2 = 0)
  SELECT coalesce(a.well_id, b.well_id) AS well_id, coalesce(a.depth_md, b.depth_md) AS depth_md, coalesce(a.rop, b.rop) AS rop, wob, torque FROM a FULL JOIN b ON a.well_id = b.well_id AND a.depth_md = b.depth_md""", dbl="depth_md rop wob torque")
 def q_merge(spark, sf):
     w = drill_wide(spark, sf)

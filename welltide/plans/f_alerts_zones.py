@@ -14,7 +14,7 @@ from welltide.plans.d_segments import RUNS_SQL, STATES_SQL, shared, states, wide
 from welltide.plans.e_knowledge import CHANS, SL, profile_sql, profiles, rel_sql, related, resp_sql, responses, wide_states
 from welltide.plans.registry import query
 from welltide.sources import dims
-from welltide.sources.tables import WIDE_SQL, drill_wide, table, unpivot_channels
+from welltide.sources.tables import WIDE_CHANNELS, WIDE_SQL, drill_wide, table, unpivot_channels
 
 c = F.col
 # Wells on a pad share their response profile, so each transition type occurs often enough.
@@ -65,7 +65,7 @@ def q_breaks(spark, sf):
     return A.relationship_breaks(base, now.where((c("n") >= 30) & c("r").isNotNull() & ~F.isnan("r")))
 
 
-SCAN = ["wob", "rop", "rpm", "flow_in"]
+SCAN = WIDE_CHANNELS
 TRAIN_SQL = f"""{RUNS_SQL}, {halves_sql('pos * 2 < lastp', 'ha')}, tr AS ({' UNION ALL '.join(f"SELECT well_id, state, '{x}' AS channel, min({x}) AS lo, max({x}) AS hi, CASE WHEN max({x}) > min({x}) THEN sqrt(var_pop({x})) / (max({x}) - min({x})) > 0.01 ELSE false END AS informative FROM ha GROUP BY 1, 2 HAVING count(*) >= 5" for x in SCAN)}),
  tv AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT well_id, pos, state, depth_md AS depth, '{x}' AS channel, {x} AS v FROM t2 WHERE ct = 1 AND prev_state IS NOT NULL" for x in SCAN)})),
  al AS (SELECT tv.well_id, 'state_inconsistency' AS alert_type, tv.channel, 'warning' AS severity, pos, depth, v FROM tv JOIN tr USING (well_id, state, channel) WHERE informative AND hi > lo AND (v < lo - 0.1 * (hi - lo) OR v > hi + 0.1 * (hi - lo)))"""
@@ -327,17 +327,17 @@ GRAD_SQL = """gc AS (SELECT well_id, max(depth_tvd) AS td, coalesce(quantile_con
  v2 AS (SELECT well_id, 'hydrostatic_at_td' AS "check", mw BETWEEN 8.33 AND 20 AS passed, 0.052 * mw * td AS value FROM gc UNION ALL SELECT well_id, 'median_gradient', g BETWEEN 0.45 AND 0.65, g FROM gc WHERE g IS NOT NULL UNION ALL SELECT well_id, 'below_frac_gradient', gm <= 0.95, gm FROM gc WHERE gm IS NOT NULL)"""
 SV_SQL = """sc AS (SELECT well_id, max(CASE WHEN tvd_reported > 0 THEN abs(tvd - tvd_reported) END) AS d, max_by(tvd_reported, CASE WHEN tvd_reported > 0 THEN pos END) AS td, max(dls) AS dls, sum((qi = 0)::INT) / count(qi) * 100.0 AS qi, quantile_cont(dm, 0.5) AS med, max(dm) AS gm FROM path GROUP BY 1),
  v3 AS (SELECT well_id, 'min_curvature_tvd' AS "check", d < greatest(5, td * 0.005) AS passed, d AS value FROM sc UNION ALL SELECT well_id, 'dogleg_bound', dls <= 15, dls FROM sc UNION ALL SELECT well_id, 'quality_index', qi >= 80, qi FROM sc UNION ALL SELECT well_id, 'station_spacing', gm <= med * 10, gm FROM sc)"""
-QC = ["rop", "wob", "torque", "apwd"]
+QC = WIDE_CHANNELS
 _R = {n: (a, b) for n, a, b in dims.VALUE_RANGES}
-QUAL_SQL = f"""qw AS (SELECT well_id, depth_md, {', '.join(f"CASE WHEN l % 7 = {i} OR (well_id % 4 = 0 AND l < 5) THEN -999.25 ELSE {x} END AS {x}" for i, x in enumerate(QC))} FROM (SELECT *, floor(wob / 7)::INT AS l FROM wide)),
- qa AS (SELECT well_id, {' + '.join(f"(avg(CASE WHEN {x} = -999.25 THEN 100.0 ELSE 0 END) > 50)::INT" for x in QC)} AS high, {' + '.join(f"coalesce((min({x}) FILTER ({x} <> -999.25) < {_R[x][0]} OR max({x}) FILTER ({x} <> -999.25) > {_R[x][1]})::INT, 0)" for x in QC)} AS outside, count(*) / (max(depth_md) - min(depth_md)) AS den FROM qw GROUP BY 1),
+QUAL_SQL = f"""qw AS (SELECT well_id, depth_md, {', '.join(f"CASE WHEN l % 7 = {i % 7} OR (well_id % 4 = 0 AND l < 5) THEN -999.25 ELSE {x} END AS {x}" for i, x in enumerate(QC))} FROM (SELECT *, floor(wob / 7)::INT AS l FROM wide)),
+ qa AS (SELECT well_id, {' + '.join(f"(avg(CASE WHEN {x} = -999.25 THEN 100.0 ELSE 0 END) > 50)::INT" for x in QC)} AS high, {' + '.join(f"coalesce((min({x}) FILTER ({x} <> -999.25) < {_R[x][0]} OR max({x}) FILTER ({x} <> -999.25) > {_R[x][1]})::INT, 0)" for x in QC if x in _R)} AS outside, count(*) / (max(depth_md) - min(depth_md)) AS den FROM qw GROUP BY 1),
  v4 AS (SELECT well_id, 'null_share' AS "check", high = 0 AS passed, high::DOUBLE AS value FROM qa UNION ALL SELECT well_id, 'value_ranges', outside = 0, outside FROM qa UNION ALL SELECT well_id, 'sample_density', den > 0, den FROM qa)"""
 
 
 def qual_wide(spark, sf):
     l = F.floor(c("wob") / 7).cast("int")
     w = wide_table(spark, sf)
-    gap = lambda i, x: F.when((l % 7 == i) | ((c("well_id") % 4 == 0) & (l < 5)), F.lit(-999.25)).otherwise(c(x))
+    gap = lambda i, x: F.when((l % 7 == i % 7) | ((c("well_id") % 4 == 0) & (l < 5)), F.lit(-999.25)).otherwise(c(x))
     return w.select("well_id", "depth_md", *[gap(i, x).alias(x) for i, x in enumerate(QC)])
 
 

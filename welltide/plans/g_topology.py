@@ -16,10 +16,10 @@ from welltide.plans.f_alerts_zones import ZW, zone_wide
 from welltide.plans.registry import query
 from welltide.operators.projections import to_cloud
 from welltide.sources import dims
-from welltide.sources.tables import MEAS_SQL, WIDE_SQL, drill_wide, measurements, table
+from welltide.sources.tables import MEAS_SQL, WIDE_CHANNELS, WIDE_SQL, drill_wide, measurements, table
 
 c = F.col
-BIN_CH = ["gamma_ray", "rop", "wob", "torque", "apwd"]
+BIN_CH = ["gamma_ray", "rop", *[x for x in WIDE_CHANNELS if x not in ("gamma_ray", "rop")]]
 N_BINS = 30
 STEPS = 50
 
@@ -174,9 +174,15 @@ def q_way(spark, sf):
     return T.waypoints(curves(spark, sf))
 
 
-@query("regime_boundaries")
+def _members_sql(end):
+    """The component of one end of a tree edge before the merge: all bins whose smallest largest step to it is below the edge."""
+    return f"SELECT t.well_id, t.i, t.j, t.w, count(m.j) + 1 AS n, least(t.{end}, coalesce(min(m.j), t.{end})) AS lo, greatest(t.{end}, coalesce(max(m.j), t.{end})) AS hi FROM tree t LEFT JOIN mm5 m ON m.well_id = t.well_id AND m.i = t.{end} AND m.j <> t.{end} AND m.m < t.w GROUP BY 1, 2, 3, 4"
+
+
+@query("regime_boundaries", f"""WITH {TREE}, ri AS ({_members_sql('i')}), rj AS ({_members_sql('j')}), rc AS (SELECT well_id, quantile_cont(w, 0.75) FILTER (w > 0) AS cut FROM tree GROUP BY 1),
+ rd AS (SELECT ri.well_id, ri.i, ri.j, ri.w, CASE WHEN ri.n < rj.n THEN ri.n ELSE rj.n END AS n, CASE WHEN ri.n < rj.n THEN ri.lo ELSE rj.lo END AS lo, CASE WHEN ri.n < rj.n THEN ri.hi ELSE rj.hi END AS hi FROM ri JOIN rj USING (well_id, i, j))
+ SELECT rd.well_id, rd.i, rd.j, rd.w AS persistence, a.centre AS top, b.centre AS bottom, rd.n AS n_bins FROM rd JOIN rc USING (well_id) JOIN vec a ON a.well_id = rd.well_id AND a.bin = rd.lo JOIN vec b ON b.well_id = rd.well_id AND b.bin = rd.hi WHERE rd.w >= rc.cut""", dbl="persistence top bottom", whole="i j n_bins")
 def q_regime(spark, sf):
-    """Merge order decides the members, so this is checked by a brute-force test instead of SQL."""
     return T.regime_boundaries(tree(spark, sf), vectors(spark, sf))
 
 

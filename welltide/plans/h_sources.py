@@ -15,7 +15,7 @@ from welltide.plans.d_segments import shared, wide_table
 from welltide.plans.registry import query
 from welltide.session import input_mark, scratch_path
 from welltide.sources import dims, dumps, files
-from welltide.sources.tables import EVENT_CHANNELS, MEAS_SQL, WIDE_SQL, measurements, table
+from welltide.sources.tables import EVENT_CHANNELS, MEAS_SQL, WIDE_CHANNELS, WIDE_SQL, measurements, table
 
 c = F.col
 RIGS = 24
@@ -232,11 +232,11 @@ def q_computed(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
 
 
-@query("csv_export", f"WITH {WIDE_SQL} SELECT well_id::VARCHAR AS well_id, count(*) AS n, avg(rop) AS rop, avg(wob) AS wob FROM wide GROUP BY 1", dbl="rop wob")
+@query("csv_export", f"WITH {WIDE_SQL} SELECT well_id::VARCHAR AS well_id, count(*) AS n, {', '.join(f'avg({x}) AS {x}' for x in WIDE_CHANNELS)} FROM wide GROUP BY 1", dbl=" ".join(WIDE_CHANNELS))
 def q_export(spark, sf):
     from welltide.sources.tables import unpivot_channels
-    p = folder(spark, sf, "export", lambda path: files.export_csv(unpivot_channels(wide_table(spark, sf), ["rop", "wob"]), ["rop", "wob"], path))
-    return files.read_delimited(spark, p).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rop").alias("rop"), F.avg("wob").alias("wob"))
+    p = folder(spark, sf, "export", lambda path: files.export_csv(unpivot_channels(wide_table(spark, sf), WIDE_CHANNELS), WIDE_CHANNELS, path))
+    return files.read_delimited(spark, p).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(x) for x in WIDE_CHANNELS])
 
 
 @query("cloud_round_trip", f"WITH {WIDE_SQL}, {DEFS_SQL}, {long_sql(CLOUD_COLS)}, k AS (SELECT well_id, count(*) AS n_points FROM long GROUP BY 1) SELECT l.well_id, l.channel, n_points, avg(greatest(0, least(1, (v - low) / (high - low)))) AS mean_v FROM long l JOIN defs ON defs.channel = l.channel JOIN k ON k.well_id = l.well_id GROUP BY 1, 2, 3", dbl="mean_v:6")
