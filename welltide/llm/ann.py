@@ -4,8 +4,8 @@ Vectors are scaled by the largest norm and get one more component that makes all
 point; codes of one byte per component steer graph and search, and scores are computed from the original vectors. Equal vectors share a node.
 
 The graph starts from random projection trees (ranges of a random projection, divided at medians inside a task). In each round every node
-sends its code to its neighbours and to a bounded sample of the nodes it is a neighbour of; each receiver compares the nodes that meet there
-and proposes the best pairs; proposals replace worse neighbours. Search keeps a beam of nodes per query; each round joins the best nodes not
+sends its code to itself and its neighbours; each receiver compares a bounded sample of the nodes that meet there, which are neighbours of
+neighbours, and proposes the best pairs; proposals replace worse neighbours. Search keeps a beam of nodes per query; each round joins the best nodes not
 yet opened with their adjacency. Nothing is collected but counts, norms and a few entry nodes.
 
 Cases: null ids, and vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors shorter than the longest
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from welltide.llm.common import table
 from welltide.session import release, scratch_path, stage_path
 
-#: Neighbours of a node, nodes of a leaf and trees of the first graph, proposals one node gets from one meeting, rounds at most.
-DEGREE, LEAF, TREES, PROPOSALS, ROUNDS = 24, 96, 3, 6, 5
+#: Neighbours of a node, nodes of a leaf and trees of the first graph, nodes that meet in one place, proposals one of them gets there, rounds at most.
+DEGREE, LEAF, TREES, MEETING, PROPOSALS, ROUNDS = 24, 96, 3, 64, 6, 5
 #: Beam, nodes opened per query and round, search rounds at most, candidates scored exactly per query.
-BEAM, OPEN, SEARCH_ROUNDS, EXACT = 448, 64, 20, 64
+BEAM, OPEN, SEARCH_ROUNDS, EXACT = 448, 128, 16, 64
+#: The search ends when at most this share of all beams' nodes has not been opened.
+UNOPENED = 0.01
 #: Points of one partition of a tree, which a task divides in memory.
 TREE_POINTS = 1 << 16
 
@@ -289,6 +291,24 @@ def _meet(proposals: int):
     return run
 
 
+def _post(degree: int):
+    """Each node's code for itself and its neighbours: to, id, code, worst, fresh."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            nbr, n = _flat(f["nbr"], np.int64)
+            sim, _ = _flat(f["sim"], np.float32)
+            fresh, _ = _flat(f["fresh"], np.uint8)
+            worst = np.full(len(f), -2.0, dtype=np.float32)
+            worst[n >= degree] = sim[(np.cumsum(n) - 1)[n >= degree]]
+            row = np.repeat(np.arange(len(f)), n)
+            every = np.concatenate([np.arange(len(f)), row])
+            yield pd.DataFrame({"to": np.concatenate([f["id"].to_numpy(), nbr]), "id": f["id"].to_numpy()[every], "code": f["code"].to_numpy()[every], "worst": worst[every],
+                                "fresh": np.concatenate([np.zeros(len(f)), fresh]).astype(np.int32)})
+
+    return run
+
+
 def _adjacency(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of ``to``: one row per node with the ids and codes of the nodes next to it."""
     for f in _whole_runs(frames, "to"):
@@ -329,8 +349,12 @@ def neighbour_graph(codes: DataFrame, n: int, dim: int, degree: int = DEGREE, ro
         mates = dealt.mapInPandas(_tree(degree, LEAF, seed + t), "id long, nbr binary, sim binary, fresh binary, far binary")
         rows = rows.union(mates.select("id", F.lit(None).cast("binary"), "nbr", "sim", "fresh", "far"))
     state, path = stage_path(_sorted_by(rows, "id").mapInPandas(_merge(degree), _STATE), "ann-graph")
-    for _ in range(rounds):
-        met = _sorted_by(_messages(state, degree), "to").mapInPandas(_meet(PROPOSALS), "id long, nbr binary, sim binary, fresh binary")
+    for turn in range(rounds):
+        posted = state.select("id", "code", "nbr", "sim", "fresh").mapInPandas(_post(degree), "to long, id long, code binary, worst float, fresh int")
+        # The limit applies per task before rows meet, so a node that all others have as a neighbour is no large group.
+        few = Window.partitionBy("to").orderBy(F.desc("fresh"), F.xxhash64("id", "to", F.lit(turn)))
+        here = posted.withColumn("_rn", F.row_number().over(few)).where(F.col("_rn") <= MEETING).drop("_rn")
+        met = here.mapInPandas(_meet(PROPOSALS), "id long, nbr binary, sim binary, fresh binary")
         seen = F.unhex(F.repeat(F.lit("00"), F.octet_length("fresh")))  # all met in this round
         both = state.select("id", "code", "nbr", "sim", seen.alias("fresh"), "far").union(met.select("id", F.lit(None).cast("binary"), "nbr", "sim", "fresh", empty))
         nxt, nxt_path = stage_path(_sorted_by(both, "id").mapInPandas(_merge(degree), _STATE), "ann-graph")
@@ -467,7 +491,8 @@ def greedy_search(state: DataFrame, queries: DataFrame, dim: int, degree: int =
         nxt, nxt_path = stage_path(_sorted_by(both, "q").mapInPandas(_advance(OPEN, beam), _BEAM), "ann-beam")
         release(spark, path)
         beams, path = nxt, nxt_path
-        if beams.where("left > 0").isEmpty():
+        waits, held = beams.agg(F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.sum(F.octet_length("opened")), F.lit(0))).first()
+        if waits <= UNOPENED * held:
             break
     out, _ = stage_path(beams.mapInPandas(_candidates(exact), "q long, rep long"), "ann-found")
     release(spark, path)
