@@ -43,21 +43,6 @@ def test_components_on_long_chain(spark):
     assert {r.label for r in T.connected_components(nodes, edges).collect()} == {0, 41}
 
 
-def test_spectrum_matches_dense_solution(spark):
-    ch = ["gamma_ray", "rop", "flow_in", "flow_out"]
-    f = spark.createDataFrame([(1, i, 100.0 + 10 * i, 0.1, 0.2, 0.3, 0.4) for i in range(6)], "well_id int, bin int, centre double, gamma_ray double, rop double, flow_in double, flow_out double")
-    got = C.spectral_coherence(f, ch, k_eig=20).first()
-    u = np.eye(4)
-    u[3, 3] -= 0.2; u[3, 2] += 0.2
-    u[1, 0] -= 0.15 * 0.15; u[0, 1] -= 0.15 * 0.075
-    lap = np.zeros((24, 24))
-    for e in range(5):
-        i, j = slice(4 * e, 4 * e + 4), slice(4 * e + 4, 4 * e + 8)
-        lap[i, i] += u.T @ u; lap[j, j] += np.eye(4); lap[i, j] -= u.T; lap[j, i] -= u
-    eig = np.linalg.eigvalsh(lap)[:20]
-    assert close(got.coherence_score, float(np.exp(-eig[1:].mean())), 1e-6)
-
-
 def test_well_behaved_well_has_no_anomaly(spark):
     f = spark.createDataFrame([(1, i, 10.0 * i, *([0.5] * 4)) for i in range(9)], "well_id int, bin int, centre double, rop double, wob double, torque double, rpm double")
     r = C.residuals(f, ["rop", "wob", "torque", "rpm"])

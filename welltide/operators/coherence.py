@@ -8,9 +8,8 @@ weights of the channels it is predicted from; channels not named carry over. The
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,56 +226,11 @@ def baseline_contrast(current: DataFrame, baseline: DataFrame, pairs: DataFrame,
         F.sum((c("_r") > 1.2).cast("int")).alias("n_better"))
 
 
-# --- spectrum per configuration ------------------------------------------------------------------------
-
-def _spectrum(g: pd.DataFrame) -> pd.DataFrame:
-    """Smallest eigenvalues of the block path Laplacian of one configuration (a few hundred rows at most)."""
-    chans, steps, mw, k = list(g["channels"].iloc[0]), list(g["steps"].iloc[0]), float(g["mud_weight"].iloc[0]), int(g["k_eig"].iloc[0])
-    m, n = len(chans), len(steps) + 1
-    lo, hi = _RANGE["apwd"]
-    lap = np.zeros((n * m, n * m))
-    for e, dz in enumerate(steps):
-        u = np.zeros((m, m))
-        coupling = min(0.5, 0.052 * mw * abs(dz) / (hi - lo))
-        for r, spec in RULES.items():
-            ok = all(x in chans for x in NEEDS.get(r, []))
-            a = np.eye(m)
-            for t, row in (spec.items() if ok else ()):
-                if t in chans:
-                    a[chans.index(t)] = 0.0
-                    for s, w in row.items():
-                        a[chans.index(t), chans.index(s)] = coupling if w == "coupling" else w
-            u += WEIGHTS[r] * a
-        i, j = slice(e * m, e * m + m), slice(e * m + m, e * m + 2 * m)
-        lap[i, i] += u.T @ u
-        lap[j, j] += np.eye(m)
-        lap[i, j] -= u.T
-        lap[j, i] -= u
-    eig = np.sort(np.linalg.eigvalsh(lap))[:min(k, n * m - 1)]
-    rest = eig[1:] if len(eig) > 1 else eig
-    return pd.DataFrame({"config": [g["config"].iloc[0]], "coherence_score": [float(np.clip(np.exp(-max(rest.mean(), 0.0)), 0.0, 1.0))],
-                         "spectral_gap": [float(eig[1] - eig[0]) if len(eig) > 1 else 0.0]})
-
-
-def spectral_coherence(fib: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("well_id",), k_eig: int = 20, mud_weight: float = 10.0) -> DataFrame:
-    """Spectral coherence score and gap per key.
-
-    The spectrum depends on the channel set, the bin steps and the mud weight only, not on measured values, so it is
-    solved once per distinct configuration and joined back.
-    """
-    w = Window.partitionBy(*keys).orderBy("bin")
-    s = fib.withColumn("_s", F.round(F.lead("centre").over(w) - c("centre"), 6)).where("_s is not null")
-    cfg = s.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "_s"))), lambda x: x["_s"]).alias("steps"))
-    cfg = cfg.withColumn("config", F.sha2(F.to_json("steps"), 256))
-    distinct = cfg.groupBy("config").agg(F.first("steps").alias("steps")).withColumns({
-        "channels": F.array(*[F.lit(x) for x in channels]), "mud_weight": F.lit(mud_weight), "k_eig": F.lit(k_eig)})
-    solved = distinct.groupBy("config").applyInPandas(_spectrum, "config string, coherence_score double, spectral_gap double")
-    return cfg.drop("steps").join(solved, "config").drop("config")
-
-
-def gap_routing(gap: Column) -> Column:
-    return F.when(gap > 0.1, "ASCEND").when(gap < 0.01, "REPROBE").otherwise("HOLD")
-
-
 def coherence_label(mean: Column) -> Column:
     return F.when(mean > 0.8, "excellent").when(mean > 0.6, "good").when(mean > 0.4, "fair").otherwise("poor")
+
+
+def layer_rows(tables: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """Tables of layers (name, table, item columns) as (well_id, layer, item, value)."""
+    long = [d.select("well_id", *[c(x).cast("double").alias(x) for x in items]).unpivot(["well_id"], list(items), "item", "value").withColumn("layer", F.lit(n)) for n, d, items in tables]
+    return reduce(DataFrame.unionByName, long).select("well_id", "layer", "item", "value")

@@ -172,6 +172,37 @@ def with_provenance(value, unit: str, method: str, inputs: list[tuple[str, objec
                                        F.lit(p).alias("provenance")) for n, v, u, p in inputs]).alias("inputs"))
 
 
+# Result, unit, method, and name, unit and source of each input in the order the functions take them.
+METHODS = [
+    ("ecd", "ppg", "equivalent circulating density", [("mw", "ppg", "measured"), ("afp", "psi", "modelled"), ("tvd", "ft", "survey")]),
+    ("hydrostatic", "psi", "hydrostatic pressure", [("mw", "ppg", "measured"), ("tvd", "ft", "survey")]),
+    ("bhp_static", "psi", "static bottom-hole pressure", [("mw", "ppg", "measured"), ("tvd", "ft", "survey"), ("sbp", "psi", "measured")]),
+    ("bhp_dynamic", "psi", "dynamic bottom-hole pressure", [("mw", "ppg", "measured"), ("tvd", "ft", "survey"), ("afp", "psi", "modelled"), ("sbp", "psi", "measured")]),
+    ("annular_velocity", "ft/min", "annular velocity", [("q", "gpm", "measured"), ("hole", "in", "record"), ("pipe", "in", "record")]),
+    ("mse", "psi", "mechanical specific energy", [("wob", "lbs", "measured"), ("torque", "ft-lbs", "measured"), ("rpm", "rev/min", "measured"), ("rop", "ft/hr", "measured"), ("bit", "in", "record")]),
+    ("ucs", "psi", "strength from specific energy", [("mse", "psi", "derived")]),
+    ("brittleness", "fraction", "brittleness index", [("ucs", "psi", "derived")]),
+    ("d_exponent", "dimensionless", "drilling exponent", [("rop", "ft/hr", "measured"), ("rpm", "rev/min", "measured"), ("wob", "lbs", "measured"), ("bit", "in", "record")]),
+    ("eaton_pp", "ppg", "pore pressure from the corrected exponent", [("d_exponent", "dimensionless", "derived"), ("d_normal", "dimensionless", "trend"), ("overburden", "ppg", "gradient")]),
+    ("skin", "dimensionless", "skin factor", [("k", "mD", "core"), ("kd", "mD", "modelled"), ("rd", "ft", "modelled"), ("rw", "ft", "record")]),
+    ("productivity_index", "stb/d/psi", "productivity index", [("k", "mD", "core"), ("h", "ft", "logs"), ("bo", "rb/stb", "analysis"), ("mu", "cP", "analysis"), ("re", "ft", "spacing"), ("rw", "ft", "record"), ("skin", "dimensionless", "derived")]),
+]
+
+
+def named_results(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per result of METHODS: keys, result, value, unit, method, inputs (name, value, unit, provenance).
+
+    ``rows`` has the columns that METHODS names as inputs and that no other result gives (wob in lbs).
+    """
+    formula = {"ecd": H.ecd, "hydrostatic": H.hydrostatic, "bhp_static": H.bhp_static, "bhp_dynamic": H.bhp_dynamic, "annular_velocity": H.annular_velocity, "mse": R.mse, "ucs": R.ucs,
+               "brittleness": R.brittleness, "d_exponent": R.d_exponent, "eaton_pp": R.eaton, "skin": R.skin, "productivity_index": R.productivity_index}
+    d, out = rows, []
+    for name, unit, method, inputs in METHODS:  # a result may be an input of a later one
+        d = d.withColumn(name, formula[name](*[F.col(n) for n, _, _ in inputs]).cast("double"))
+        out.append(F.struct(F.lit(name).alias("result"), with_provenance(F.col(name), unit, method, [(n, F.col(n).cast("double"), u, p) for n, u, p in inputs]).alias("r")))
+    return d.select(*keys, F.explode(F.array(*out)).alias("_r")).select(*keys, "_r.result", "_r.r.*")
+
+
 def latest_by_well(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Last recorded value of each channel."""
     return wide.groupBy("well_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in columns])

@@ -415,3 +415,22 @@ def q_decline(spark, sf):
     k = c("s_suppkey")
     w = table(spark, sf, "supplier").select(k.alias("well_id"), (F.lit(300.0) + k % 50).alias("qi"), (F.lit(0.02) + k % 5 * 0.01).alias("di"), (k % 3 * 0.5).alias("b"))
     return D.decline_forecast(w, 120).groupBy("well_id").agg(F.sum("rate").alias("eur"), F.min("rate").alias("final_rate"), F.max("rate").alias("initial_rate"))
+
+
+LAST_SQL = "la AS (SELECT well_id, max_by(mud_weight, pos) AS mw, max_by(spp, pos) * 0.3 AS afp, max_by(depth_tvd, pos) AS tvd, max_by(choke_pressure, pos) AS sbp, max_by(flow_in, pos) AS q, max_by(wob, pos) * 1000 AS wob, max_by(torque, pos) AS torque, max_by(rpm, pos) AS rpm, max_by(rop, pos) AS rop FROM wide GROUP BY 1)"
+RESULT_SQL = f"""{W}, {LAST_SQL}, r1 AS (SELECT *, 480.0::DOUBLE * torque * rpm / (8.75::DOUBLE * 8.75 * rop) + 4.0::DOUBLE * wob / (pi() * 8.75::DOUBLE * 8.75) AS mse, log10(rop / (60.0 * rpm)) / log10(12.0 * wob / (1000.0 * 8.75)) AS dx, (100.0::DOUBLE / 40 - 1) * ln(3.0::DOUBLE / 0.36) AS skin FROM la),
+ r2 AS (SELECT *, 0.35 * mse AS ucs FROM r1),
+ rx AS (SELECT well_id, unnest(['ecd', 'hydrostatic', 'bhp_static', 'bhp_dynamic', 'annular_velocity', 'mse', 'ucs', 'brittleness', 'd_exponent', 'eaton_pp', 'skin', 'productivity_index']) AS result,
+  unnest([mw + afp / (0.052 * tvd), 0.052 * mw * tvd, 0.052 * mw * tvd + sbp, 0.052 * mw * tvd + afp + sbp, 24.5 * q / (8.75 * 8.75 - 25.0), mse, ucs, (ucs - ucs / 10) / (ucs + ucs / 10), dx,
+   CASE WHEN dx <= 0 THEN 8.65 ELSE greatest(8.65 * 0.8, least(19.2 - (19.2 - 8.65) * pow(dx / 1.2, 1.2), 19.2 * 0.95)) END, skin, 100.0 * 50 / (141.2 * 1.2 * 0.8 * (ln(1490.0 / 0.36) + skin))]) AS value,
+  unnest([3, 2, 3, 4, 3, 5, 1, 1, 4, 3, 4, 7]) AS n_inputs FROM r2)"""
+
+
+@query("results_with_provenance", f"{RESULT_SQL} SELECT well_id, result, value, n_inputs FROM rx", dbl="value:6", whole="n_inputs")
+def q_results(spark, sf):
+    """All twelve results at each well's latest sample."""
+    last = D.latest_by_well(drill_wide(spark, sf), ["mud_weight", "spp", "depth_tvd", "choke_pressure", "flow_in", "wob", "torque", "rpm", "rop"])
+    fixed = {"hole": 8.75, "pipe": 5.0, "bit": 8.75, "d_normal": 1.2, "overburden": 19.2, "k": 100.0, "kd": 40.0, "rd": 3.0, "rw": 0.36, "h": 50.0, "bo": 1.2, "mu": 0.8, "re": 1490.0}
+    d = last.select("well_id", c("mud_weight").alias("mw"), (c("spp") * 0.3).alias("afp"), c("depth_tvd").alias("tvd"), c("choke_pressure").alias("sbp"), c("flow_in").alias("q"), (c("wob") * 1000.0).alias("wob"),
+                    "torque", "rpm", "rop", *[F.lit(v).alias(n) for n, v in fixed.items()])
+    return D.named_results(d, ["well_id"]).select("well_id", "result", "value", F.size("inputs").alias("n_inputs"))

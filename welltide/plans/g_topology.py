@@ -356,14 +356,6 @@ def q_contrast(spark, sf):
     return C.baseline_contrast(windows(spark, sf), windows(spark, sf), neighbours_of(spark, sf))
 
 
-@query("spectral_coherence")
-def q_spectral(spark, sf):
-    """Eigenvalues have no SQL form; a test compares them with a dense solution."""
-    f = C.fibers(zone_wide(spark, sf), FIB, 20)
-    s = C.spectral_coherence(f, FIB, k_eig=20)
-    return s.select("well_id", F.round("coherence_score", 6).alias("coherence_score"), F.round("spectral_gap", 6).alias("spectral_gap"), C.gap_routing(F.round("spectral_gap", 9)).alias("routing"))
-
-
 PV = "pv AS (SELECT o_custkey % 150 AS well_id, o_orderkey AS probe_id, 5000.05::DOUBLE + o_orderkey % 1000 AS depth FROM orders)"
 
 
@@ -392,3 +384,20 @@ def q_layers(spark, sf):
                                   F.avg(R.mse(c("wob") * 1000.0, c("torque"), c("rpm"), c("rop"), 8.5)).alias("mean_mse"))
     l2 = prints(spark, sf).select("well_id", "mean_coherence", "zone_count")
     return l0.join(l1, "well_id").join(l2, "well_id").withColumn("label", C.coherence_label(c("mean_coherence")))
+
+
+@query("layer_tables", f"""WITH {FP}, q AS (SELECT well_id, avg(0.052 * 10 * depth_tvd) AS hp, avg(480.0 * torque * rpm / (8.5 * 8.5 * rop) + 4.0 * wob * 1000 / (pi() * 8.5 * 8.5)) AS mse, count(*) AS n FROM zw GROUP BY 1)
+ SELECT fp.well_id, unnest(['measurement', 'measurement', 'physics', 'physics', 'coherence', 'coherence', 'label']) AS layer, unnest(['quality_score', 'n_channels', 'mean_hydrostatic', 'mean_mse', 'mean_coherence', 'zone_count', 'coherence_label']) AS item,
+  unnest([1.0::DOUBLE, {len(FIB)}.0::DOUBLE, hp, mse, mean_coherence, zone_count::DOUBLE, CASE WHEN mean_coherence > 0.8 THEN 4.0 WHEN mean_coherence > 0.6 THEN 3.0 WHEN mean_coherence > 0.4 THEN 2.0 ELSE 1.0 END]) AS value FROM fp JOIN q USING (well_id)""", dbl="value:3")
+def q_layer_tables(spark, sf):
+    """The four layers as one long table; labels by grade (4 excellent, 1 poor)."""
+    from welltide.functions import hydraulics as H
+    from welltide.functions import rock as R
+    w = zone_wide(spark, sf)
+    grade = F.create_map(*[F.lit(x) for x in ("excellent", 4.0, "good", 3.0, "fair", 2.0, "poor", 1.0)])
+    measured = quality_summary(w.unpivot(["well_id", "pos"], FIB, "channel", "v"))
+    physics = w.groupBy("well_id").agg(F.avg(H.hydrostatic(10.0, c("depth_tvd"))).alias("mean_hydrostatic"), F.avg(R.mse(c("wob") * 1000.0, c("torque"), c("rpm"), c("rop"), 8.5)).alias("mean_mse"))
+    fp = prints(spark, sf)
+    tables = [("measurement", measured, ["quality_score", "n_channels"]), ("physics", physics, ["mean_hydrostatic", "mean_mse"]), ("coherence", fp, ["mean_coherence", "zone_count"]),
+              ("label", fp.select("well_id", grade[C.coherence_label(c("mean_coherence"))].alias("coherence_label")), ["coherence_label"])]
+    return C.layer_rows(tables)

@@ -209,13 +209,15 @@ def q_dir(spark, sf):
 
 # --- catalogue, stores, exports ------------------------------------------------------------------------
 
-@query("file_catalogue")
+@query("file_catalogue", f"""WITH {RIG_SQL}, f AS (SELECT DISTINCT ip, wits_id, 0 AS older FROM rs UNION ALL SELECT DISTINCT ip, wits_id, 1 FROM rs WHERE event_id % 10 = 0 UNION ALL SELECT DISTINCT {IP('p_partkey')}, 'idtable', 0 FROM part)
+ SELECT ip, count(*) AS n_files, count(*) AS n_registered, 0 AS n_again FROM f GROUP BY 1""", whole="n_again")
 def q_catalogue(spark, sf):
-    """Hashes of the dump files; registering the same folder again adds nothing. File names are Spark's own, so no SQL."""
-    f = files.fingerprint_files(spark, depth_folder(spark, sf))
-    first = files.register(f, None)
-    again = files.register(f, first)
-    return first.select("file_hash", "stored_name", "size_bytes").unionByName(again.select("file_hash", "stored_name", "size_bytes"))
+    """Files of the dump folder per recorder (one per block), how many of them are new to an empty catalogue and to a filled one."""
+    found = files.fingerprint_files(spark, depth_folder(spark, sf)).withColumn("ip", F.regexp_extract("original_path", dumps.NAME, 1))
+    first = files.register(found, None)
+    again = files.register(found, first)
+    count = lambda d, n: d.groupBy("ip").agg(F.count(F.lit(1)).alias(n))
+    return count(found, "n_files").join(count(first, "n_registered"), "ip").join(count(again, "n_again"), "ip", "left").na.fill(0, ["n_again"])
 
 
 @query("computed_round_trip", f"WITH {WIDE_SQL}, m AS (SELECT {IP('well_id')} AS ip, {MSE} AS v FROM wide) SELECT ip, '9004' AS wits_id, true AS is_computed, count(*) AS n, avg(v) AS mean, max(v) AS top FROM m GROUP BY 1", dbl="mean:3 top:3")
@@ -260,3 +262,18 @@ def q_refresh(spark, sf):
     m = measurements(spark, sf)
     copy = m.where("ts < timestamp'2024-01-20 00:00:00' and well_id % 5 > 0")
     return files.new_rows(m, copy, ["well_id", "wits_id"]).groupBy("well_id", "wits_id").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+@query("profile_edits", f"WITH {MEAS_SQL}, {dims.values_sql('wits', 'wits_id, canonical, domain, index_type', dims.WITS)} SELECT 'well-' || well_id AS profile, canonical, wits_id, CASE WHEN well_id = 2 THEN 'kpa' ELSE 'psi' END AS expected_units FROM (SELECT well_id, wits_id FROM meas GROUP BY 1, 2 HAVING count(*) >= {MIN_POINTS}) JOIN wits USING (wits_id) WHERE well_id <> 1")
+def q_store_edits(spark, sf):
+    """The profile store after one profile was deleted and another saved again; the second one as ``load_profile`` gives it."""
+    name = F.concat(F.lit("well-"), c("well_id").cast("string"))
+    def write(path):
+        a = I.suggest_assignments(present_channels(spark, sf)).select("well_id", name.alias("profile"), "canonical", "wits_id", F.lit("psi").alias("expected_units"), F.lit("").alias("expected_mnemonic"))
+        files.save_profiles(a.drop("well_id").repartition("profile"), path)
+        files.delete_profile(spark, "well-1", path)
+        files.save_profiles(a.where("well_id = 2").drop("well_id").withColumn("expected_units", F.lit("kpa")), path)
+    path = folder(spark, sf, "profile-edits", write)
+    rest = spark.read.parquet(path).where("profile <> 'well-2'").select("profile", "canonical", "wits_id", "expected_units")
+    one = spark.createDataFrame([("well-2", *r) for r in files.load_profile(spark, "well-2", path)], "profile string, canonical string, wits_id string, expected_units string")
+    return rest.union(one)

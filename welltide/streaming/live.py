@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,37 +40,46 @@ def range_alerts(samples: DataFrame, profiles: DataFrame, margin: float = 0.1) -
         .select("well_id", "wits_id", "ts", "value", "lo", "hi")
 
 
-def sessions(samples: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Stretches of activity per well and channel, closed after ``gap`` without a sample."""
-    return samples.groupBy("well_id", "wits_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")) \
-        .select("well_id", "wits_id", c("s.start").alias("start"), c("s.end").alias("end"), "n")
+def sessions(samples: DataFrame, gap: str = "30 minutes", keys: Sequence[str] = ("well_id", "wits_id")) -> DataFrame:
+    """Stretches of activity per key (well and channel, well and state), closed after ``gap`` without a sample."""
+    return samples.groupBy(*keys, F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")) \
+        .select(*keys, c("s.start").alias("start"), c("s.end").alias("end"), "n")
 
 
-def held_flags(samples: DataFrame, threshold: float, n: int) -> DataFrame:
+def flip_after(up: np.ndarray, held: bool | None, run: int, n: int) -> tuple[np.ndarray, bool, int]:
+    """Held flag at each sample, and at the end with the number of opposite samples since. ``held`` and ``run``: what came before."""
+    first = bool(up[0]) if held is None else held
+    x = np.concatenate([np.full(run if held is not None else 0, not first), up.astype(bool)])
+    start = np.concatenate([[True], x[1:] != x[:-1]])
+    at = np.arange(len(x))
+    length = at - np.maximum.accumulate(np.where(start, at, 0)) + 1
+    sure = np.maximum.accumulate(np.where(length >= n - 1, at, -1))
+    out = np.where(sure >= 0, x[np.maximum(sure, 0)], first)
+    return out[len(x) - len(up):], bool(out[-1]), 0 if x[-1] == out[-1] else int(length[-1])
+
+
+def held_flags(samples: DataFrame, threshold: float, n: int, idle: str = "365 days") -> DataFrame:
     """The hysteresis of the batch job on a stream: a flag flips after ``n - 1`` samples of the new value.
 
-    State per (well, channel): the held flag and how long the opposite has lasted. Rows of one micro-batch are taken in
-    time order; a row that arrives after a later one has been handled counts from then on.
+    State per (well, channel): the held flag and how long the opposite has lasted; it goes once the watermark is ``idle``
+    past the last sample. Rows of one micro-batch are taken in time order, so the files of a trigger bound the group; a
+    row that arrives after a later one has been handled counts from then on.
     """
+    keep_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        g = pd.concat([x[["ts", "value"]] for x in batches]).sort_values("ts", kind="stable")
         held, run = state.get if state.exists else (None, 0)
-        g = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for up in (g["value"] >= threshold).tolist():
-            if held is None:
-                held = up
-            elif up == held:
-                run = 0
-            else:
-                run += 1
-                if run >= n - 1:
-                    held, run = up, 0
-            out.append(held)
-        state.update((bool(held), int(run)))
-        yield pd.DataFrame({"well_id": key[0], "wits_id": key[1], "ts": g["ts"].to_numpy(), "held": out})
+        flags, last, run = flip_after((g["value"] >= threshold).to_numpy(), held, run, n)
+        state.update((last, run))
+        state.setTimeoutTimestamp(max(int(g["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame({"well_id": key[0], "wits_id": key[1], "ts": g["ts"].to_numpy(), "held": flags})
 
     return samples.where("value is not null").groupBy("well_id", "wits_id").applyInPandasWithState(
-        step, "well_id string, wits_id string, ts timestamp, held boolean", "held boolean, run int", "append", GroupStateTimeout.NoTimeout)
+        step, "well_id string, wits_id string, ts timestamp, held boolean", "held boolean, run int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
