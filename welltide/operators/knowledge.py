@@ -98,16 +98,20 @@ def value_buckets(df: DataFrame, keys: Sequence[str], v: str, rn: str, size: int
     """
     keys, extra = list(keys), extra or {}
     st = stage(df.groupBy(*keys).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.count(F.lit(1)).alias("_n"), F.max(rn).alias("last_pos"),
-                                     F.percentile_approx(v, [i / 256 for i in range(1, 256)], 2000).alias("_cuts"), *[e.alias(n) for n, e in extra.items()]), "value-ranges")
+                                     *[e.alias(n) for n, e in extra.items()]), "value-ranges")
     none = F.array().cast("array<double>")
     large = st.where(c("_n") > size // 4)
     inside = attach(df, large.select(*keys, "last_pos"), keys, size=size, pos=rn, how="inner")
     heavy = inside.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_k")).where(c("_k") > size // 4) \
         .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_hv"))
-    par = st.join(heavy, keys, "left").withColumn("_hv", F.coalesce("_hv", none))
+    # The cuts are quantiles of large groups, of which a group has about four for every ``size`` rows; 255 at most lie in
+    # one array, so the values between two of them are cut once more at equal widths.
+    q = inside.groupBy(*keys).agg(F.percentile_approx(v, [i / 256 for i in range(1, 256)], 2000).alias("_q"))
+    m = F.least(F.lit(255), F.ceil(c("_n") * 4 / F.lit(size)) - 1).cast("int")
+    some = F.transform(F.sequence(F.lit(1), m), lambda i: F.get("_q", F.floor(i * 256 / (m + 1)).cast("int") - 1).cast("double"))
+    par = st.join(heavy, keys, "left").join(q, keys, "left").withColumns({
+        "_hv": F.coalesce("_hv", none), "_cuts": F.when(c("_q").isNotNull() & (m > 0), some).otherwise(none)}).drop("_q")
     j = attach(df, par, keys, size=size, pos=rn)
-    # The cuts are quantiles, of which a group has about four for every ``size`` rows; 256 at most lie in one array, so
-    # the values between two of them are cut once more at equal widths.
     near = F.size(F.filter("_cuts", lambda q: q < c(v)))
     below, above = F.coalesce(F.get("_cuts", near - 1), c("_mn")), F.coalesce(F.get("_cuts", near), c("_mx"))
     fine = F.when(above > below, F.floor((c(v) - below) / (above - below) * F.ceil(c("_n") * 4 / F.lit(size * 256)))).otherwise(F.lit(0))
