@@ -80,6 +80,7 @@ class Words:
         c = low[code]
         at = np.flatnonzero(c)
         kind = script[code[at]]
+        del code
         first = np.ones(len(at), dtype=bool)
         first[1:] = (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1])
         mix = (c[at - 1] * np.uint32(0x9E3779B1)) ^ (c[at] * np.uint32(0x85EBCA77)) ^ (c[at + 1] * np.uint32(0xC2B2AE3D))
@@ -200,7 +201,7 @@ def language(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
 
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        most = 24_000_000 // max(4, len(m.langs))
+        most = 12_000_000 // max(4, len(m.langs))
         for s in parts:
             s = s.fillna("")
             made = [label_texts(m, s.iloc[x].tolist(), spans) for x in slices(s, most)]
