@@ -132,6 +132,24 @@ def test_every_participant_is_assistant_once(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_crowded_turn_numbers_are_dealt_to_pieces(spark, tmp_path):
+    rows = [(None, 3, "ann", f"text {i}") for i in range(500)] + [(None, 3, "bob", "same")] * 700 + [(None, 4, "ann", "next"), (1, 3, "ann", "calm")] + [(2, None, "eve", "lost")] * 200
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    out = chat.op4_chat_rotation(spark, str(tmp_path)).toPandas()
+    hot = out[out.conv_id.isna() & (out.perspective == "ann")]
+    assert hot.n_turns.sum() == 1201 and hot.n_turns.max() < 300 and hot[hot.piece == 0].n_turns.tolist() == [1]
+    assert sum(r.count("same<|im_end|>") for r in hot.rendered) == 700 and sum(r.count("text 77<|im_end|>") for r in hot.rendered) == 1
+    assert out[out.conv_id == 2].n_turns.sum() == 200 and out[out.conv_id == 1].piece.tolist() == [0]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    con.register("got", out)
+    names = ", ".join(out.columns)
+    both = f"(SELECT {names} FROM got EXCEPT ALL SELECT {names} FROM want) UNION ALL (SELECT {names} FROM want EXCEPT ALL SELECT {names} FROM got)"
+    con.execute(f"CREATE TABLE want AS {chat.OP4_SQL}")
+    assert con.execute(both).fetchall() == []
+
+
 # --- licences ------------------------------------------------------------------------------------------------
 
 def test_rules_take_sequences_in_order(spark):

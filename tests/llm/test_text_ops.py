@@ -171,6 +171,13 @@ def test_masks_cover_every_set_of_four_positions():
             assert any(m & d == 0 for m in masks)
 
 
+def test_buckets_end_at_a_fixed_size():
+    kept = np.zeros(1, dtype=np.uint64)
+    for level in range(4):
+        kept = np.unique((kept[:, None] | np.array(simhash.covering_masks(4, level), dtype=np.uint64)[None, :]).ravel())
+    assert 2 ** int((64 - np.bitwise_count(kept)).max()) <= simhash.BUCKET
+
+
 def test_dense_clusters_keep_their_links_with_small_buckets(spark):
     rng = random.Random(5)
     fps = set()
@@ -267,6 +274,14 @@ def test_language_of_held_out_documents(spark, sf):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_training_sample_is_the_same_share_at_any_size(spark):
+    assert langid.hash_bound(500, 10 ** 12) > 0 and langid.hash_bound(500, 3) == 2 ** 63 - 1
+    many = spark.range(40_000).select(F.lit("aa").alias("lang"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
+    langs, sample = langid.training_sample(many.union(spark.createDataFrame([("bb", "x"), ("bb", "x"), (None, "y")], "lang string, text string")), per_language=200)
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert langs == ["aa", "bb"] and 140 <= sizes["aa"] <= 260 and sizes["bb"] == 1
+
+
 def test_spans_of_mixed_and_odd_texts(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.learn(docs)

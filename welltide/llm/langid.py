@@ -112,18 +112,31 @@ class Model:
         self.uses[~self.uses.any(axis=1)] = True
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 500) -> Model:
-    """A model of the labelled rows of ``docs``, from a sample by hash of the text: about ``per_language`` distinct texts of each language, or
-    all if it has fewer. The sampled texts are counted whole; the driver gets at most (65,536 + scripts) counts for each language."""
+def hash_bound(wanted: int, distinct: int) -> int:
+    """Hashes of 63 bits up to this bound are ``wanted`` of ``distinct`` texts, whatever their number."""
+    return (2**63 - 1) * min(wanted, distinct) // max(distinct, 1)
+
+
+def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 500) -> tuple[list[str], DataFrame]:
+    """The languages of the labelled rows of ``docs``, and lang, text of a sample by hash of the text: about ``per_language`` distinct texts of
+    each language, or all if it has fewer. Copies of a text count once, so they make the sample neither larger nor smaller."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(sizes)
+    if not langs:
+        return langs, rows
+    bound = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(hash_bound(per_language, sizes[k])).cast("long"))])
+    return langs, rows.where(F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1)) <= bound[F.col("lang")]).dropDuplicates(["lang", "text"])
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 500) -> Model:
+    """A model of a sample of the labelled rows. The sampled texts are counted whole; the driver gets at most (65,536 + scripts) counts for
+    each language."""
+    langs, sample = training_sample(docs, text, lang, per_language)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS) + 1, 0)))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, per_language / sizes[k]) * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")]).dropDuplicates(["lang", "text"])
     counts = sample.mapInPandas(per_batch(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(langs)))
     n[counts["bucket"], counts["lang"].map({k: i for i, k in enumerate(langs)})] = counts["n"]

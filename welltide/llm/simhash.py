@@ -5,7 +5,7 @@ whose vector has an odd product with v. At most ``radius`` differing positions s
 them: every pair within the radius agrees in that table, and each table keeps about half of the bits.
 
 Distinct fingerprints only are compared. A bucket gives the links of a breadth-first search instead of its pairs; buckets beyond a bound are
-divided by the tables of a second assignment of vectors (a third, and so on), which loses no pair either.
+divided by the tables of a second assignment of vectors (a third, a fourth), which loses no pair either and ends at buckets of a fixed size.
 
 Cases: null and empty texts have the fingerprint zero and are linked like any other; equal rows share a fingerprint; null keys never name a
 component unless all keys in it are null; an empty table gives no rows; other columns are not read.
@@ -27,7 +27,8 @@ from welltide.session import stage, stage_path
 
 #: Members of a bucket that one task compares; larger buckets are divided first.
 BUCKET = 4096
-#: Divisions after which a bucket is searched whatever its size.
+#: Assignments at most. Any four tables of the first four assignments for radius 4 leave at most 12 of the 64 bits free, so no bucket then
+#: holds more than 2 ** 12 distinct fingerprints, however many there are; the fifth is for other radii and smaller bounds.
 LEVELS = 5
 
 
@@ -179,6 +180,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their component, with their columns."""
+    """The rows of ``docs`` whose key is the smallest of their component, with their columns. Rows that share a key stay or go together."""
     stay = near_groups(docs, key, text, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("stays")).distinct()
     return packed(docs, key=F.col(key)).join(stay, F.col("key").eqNullSafe(F.col("stays"))).select("row.*")
