@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from welltide.llm.common import table
+from welltide.session import stage
 
 PART_TURNS = 64
 #: Rows of one turn number that stay in their part; more are dealt to pieces of about as many.
@@ -31,9 +32,11 @@ def _safe(c: Column) -> Column:
 
 
 def _pieces(own: DataFrame, turn_rows: int) -> DataFrame:
-    """conv, part, piece, turn, who, body, times (how often the row occurs there). Only keys are counted to find the crowded turn numbers."""
+    """conv, part, piece, turn, who, body, times (how often the row occurs there). Only keys are counted to find the crowded turn numbers.
+    Their list is a written table, so that the planner knows its size and turns are moved for it only if it is too large to broadcast."""
     key = ["conv", "part", "turn"]
     crowded = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > turn_rows).select(*[F.col(c).alias(f"_{c}") for c in key], "n")
+    crowded = stage(crowded, "crowded-turns")
     same = F.col("conv").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part")) & F.col("turn").eqNullSafe(F.col("_turn"))
     plain = own.join(crowded, same, "left_anti").select("conv", "part", F.lit(0).cast("long").alias("piece"), "turn", "who", "body", F.lit(1).alias("times"))
     copies = own.join(crowded, same).groupBy(*key, "n", "who", "body").agg(F.count(F.lit(1)).alias("k"))
