@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: a neighbour graph from NN-descent and greedy search in it.
 
-Vectors are scaled by the largest norm and get one more component that makes all norms one, so that the largest inner product is the nearest
-point; codes of one byte per component steer graph and search, and scores are computed from the original vectors. Equal vectors share a node.
+Vectors are scaled by the largest norm and get one more component that would make all norms one, so that the largest inner product is the
+nearest point. Codes of four-byte floats steer graph and search; the added component is held as its distance from one, and the graph goes by
+distances from a group's mean, so that neither near copies nor a few long vectors cost precision. Scores are computed from the original
+vectors, for every node of a beam that the codes' rounding could move among the best. Equal vectors share a node.
 
 The graph starts from random projection trees (ranges of a random projection, divided at medians inside a task). In each round every node
 sends its code to itself and its neighbours; each receiver compares a bounded sample of the nodes that meet there, which are neighbours of
@@ -29,7 +31,7 @@ from welltide.session import release, scratch_path, stage_path
 
 #: Neighbours of a node, nodes of a leaf and trees of the first graph, nodes that meet in one place, proposals one of them gets there, rounds at most.
 DEGREE, LEAF, TREES, MEETING, PROPOSALS, ROUNDS = 24, 96, 3, 64, 6, 5
-#: Beam, nodes opened per query and round, search rounds at most, candidates scored exactly per query.
+#: Beam, nodes opened per query and round, search rounds at most, candidates scored exactly per query at least.
 BEAM, OPEN, SEARCH_ROUNDS, EXACT = 448, 128, 16, 64
 #: The search ends when at most this share of all beams' nodes has not been opened.
 UNOPENED = 0.01
@@ -52,14 +54,22 @@ def _packed(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 
 def encode_unit(x: np.ndarray) -> np.ndarray:
-    """Rows as bytes: a scale and one signed byte per component."""
-    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
-    q = np.rint(x / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
-    return np.concatenate([scale[:, None].view(np.uint8).reshape(len(x), 4), q.view(np.uint8)], axis=1)
+    """Rows (of norm one at most) and 1 - sqrt(1 - norm²) as bytes of four-byte floats."""
+    square = (x * x).sum(axis=1)
+    rest = square / (1.0 + np.sqrt(np.maximum(0.0, 1.0 - square)))
+    return np.ascontiguousarray(np.concatenate([x, rest[:, None]], axis=1), dtype=np.float32).view(np.uint8)
 
 
 def decode_unit(raw: np.ndarray) -> np.ndarray:
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return np.ascontiguousarray(raw).view(np.float32)
+
+
+def nearness(x: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all pairs of rows."""
+    x = x.astype(np.float64)
+    x -= x.mean(axis=0)
+    square = (x * x).sum(axis=1)
+    return np.minimum(2.0 * (x @ x.T) - square[:, None] - square[None, :], 0.0).astype(np.float32)
 
 
 def _codes(column: pd.Series) -> np.ndarray:
@@ -114,11 +124,10 @@ def _unit(dim: int, norm: float):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = np.zeros((len(f), dim + 1))
+            x = np.zeros((len(f), dim))
             for i, v in enumerate(f["vec"]):
                 x[i, :len(v)] = v
             x /= norm
-            x[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))
             yield pd.DataFrame({"id": f["id"], "code": [r.tobytes() for r in encode_unit(x)]})
 
     return run
@@ -133,7 +142,7 @@ def _leaves(points: np.ndarray, rng: np.random.Generator, leaf: int) -> Iterator
         if len(at) <= leaf:
             yield at
             continue
-        p = points[at] @ rng.standard_normal(points.shape[1]).astype(np.float32)
+        p = points[at].astype(np.float64) @ rng.standard_normal(points.shape[1])
         order = np.argsort(p, kind="stable")
         stack += [at[order[:len(at) // 2]], at[order[len(at) // 2:]]]
 
@@ -159,7 +168,7 @@ def _tree(degree: int, leaf: int, seed: int):
         mate = np.empty(len(ids), dtype=np.int64)
         mate[ring] = ids[np.roll(ring, 1)]
         for at in _leaves(x, rng, leaf):
-            s = x[at] @ x[at].T
+            s = nearness(x[at])
             np.fill_diagonal(s, -np.inf)
             k = min(degree, len(at) - 1)
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -224,7 +233,7 @@ def _send(degree: int, with_far: bool):
                 to, at = np.unique(np.concatenate([[i], nbr, back, far]).astype(np.int64), return_inverse=True)
                 new = np.zeros(len(to), dtype=np.int32)
                 np.maximum.at(new, at, np.concatenate([[0], fresh, back_fresh, np.zeros(len(far), np.int32)]).astype(np.int32))
-                yield to, i, code, float(sim[-1]) if len(sim) >= degree else -2.0, new
+                yield to, i, code, float(sim[-1]) if len(sim) >= degree else -np.inf, new
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -269,7 +278,7 @@ def _meet(proposals: int):
                 new = fresh[a:b]
                 if b - a < 2 or not new.any():
                     continue
-                s = x[a:b] @ x[a:b].T
+                s = nearness(x[a:b])
                 s[~(new[:, None] | new[None, :]) | (s <= worst[a:b, None])] = -np.inf
                 np.fill_diagonal(s, -np.inf)
                 k = min(proposals, b - a - 1)
@@ -299,7 +308,7 @@ def _post(degree: int):
             nbr, n = _flat(f["nbr"], np.int64)
             sim, _ = _flat(f["sim"], np.float32)
             fresh, _ = _flat(f["fresh"], np.uint8)
-            worst = np.full(len(f), -2.0, dtype=np.float32)
+            worst = np.full(len(f), -np.inf, dtype=np.float32)
             worst[n >= degree] = sim[(np.cumsum(n) - 1)[n >= degree]]
             row = np.repeat(np.arange(len(f)), n)
             every = np.concatenate([np.arange(len(f)), row])
@@ -403,7 +412,7 @@ def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, n = _flat(f["nbr"], np.int64)
             codes = np.frombuffer(b"".join(f["codes"]), dtype=np.uint8).reshape(len(ids), -1)
             query, row = decode_unit(_codes(f["code"])), np.repeat(np.arange(len(f)), n)
-            sims = np.einsum("ij,ij->i", decode_unit(codes), query[row])
+            sims = np.einsum("ij,ij->i", decode_unit(codes)[:, :-1], query[row, :-1])
             good = sims > f["worst"].to_numpy()[row]
             size = np.bincount(row[good], minlength=len(f))
             yield pd.DataFrame({"q": f["q"].to_numpy(), "ids": _packed(ids[good], size), "sims": _packed(sims[good].astype(np.float32), size)})
@@ -442,12 +451,12 @@ def _first_beam(dim: int, entries: list[tuple[int, bytes]]):
         far = decode_unit(_codes(pd.Series([c for _, c in entries])))
         names = np.array([i for i, _ in entries], dtype=np.int64)
         for f in frames:
-            x = np.zeros((len(f), dim + 1))
+            x = np.zeros((len(f), dim))
             for i, v in enumerate(f["vec"]):
                 x[i, :len(v)] = v
             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
             code = encode_unit(x)
-            sims = decode_unit(code) @ far.T
+            sims = decode_unit(code)[:, :-1] @ far[:, :-1].T
             rep = f["rep"].to_numpy(dtype="float64", na_value=np.nan) if f["rep"].isna().any() else f["rep"].to_numpy()
             out = []
             for i in range(len(f)):
@@ -462,19 +471,25 @@ def _first_beam(dim: int, entries: list[tuple[int, bytes]]):
     return run
 
 
-def _candidates(exact: int):
+def _candidates(exact: int, k: int, dim: int):
+    """The ``exact`` best nodes of each beam, and all others that the codes' rounding could hide from the ``k`` best."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ids, n = _flat(f["ids"], np.int64)
-            row = np.repeat(np.arange(len(f)), n)
-            at = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row, side="left") < exact)
+            sims, _ = _flat(f["sims"], np.float32)
+            row, start = np.repeat(np.arange(len(f)), n), np.cumsum(n) - n
+            # The first node may be the query's own. Lengths are one at most, so a sum of ``dim`` products is off by less than dim + 2 roundings.
+            last = sims[np.minimum(start + k, np.maximum(start + n - 1, 0))].astype(np.float64) if len(sims) else np.zeros(len(f))
+            slack = 2.0 * (dim + 2) * float(np.finfo(np.float32).eps)
+            at = np.flatnonzero((np.arange(len(row)) - start[row] < exact) | (sims >= last[row] - slack))
             yield pd.DataFrame({"q": f["q"].to_numpy()[row[at]], "rep": ids[at]})
 
     return run
 
 
-def greedy_search(state: DataFrame, queries: DataFrame, dim: int, degree: int = DEGREE, beam: int = BEAM, exact: int = EXACT) -> DataFrame:
-    """q, rep: the ``exact`` best nodes found for each query (q, rep, vec), by their codes. The result is a table in the shared folder."""
+def greedy_search(state: DataFrame, queries: DataFrame, dim: int, k: int, degree: int = DEGREE, beam: int = BEAM, exact: int = EXACT) -> DataFrame:
+    """q, rep: the ``exact`` best nodes found for each query (q, rep, vec), by their codes, and those too close to the ``k`` best to tell. The result is a table in the shared folder."""
     spark = state.sparkSession
     entries = [(r["id"], bytes(r["code"])) for r in state.orderBy(F.xxhash64("id")).select("id", "code").limit(16).collect()]
     near = _sorted_by(_messages(state, degree, with_far=True), "to").mapInPandas(_adjacency, "u long, nbr binary, codes binary")
@@ -494,7 +509,7 @@ def greedy_search(state: DataFrame, queries: DataFrame, dim: int, degree: int =
         waits, held = beams.agg(F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.sum(F.octet_length("opened")), F.lit(0))).first()
         if waits <= UNOPENED * held:
             break
-    out, _ = stage_path(beams.mapInPandas(_candidates(exact), "q long, rep long"), "ann-found")
+    out, _ = stage_path(beams.mapInPandas(_candidates(exact, k, dim), "q long, rep long"), "ann-found")
     release(spark, path)
     spark.sql(f"DROP TABLE {name}")
     release(spark, where)
@@ -518,7 +533,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec:
     codes, codes_path = stage_path(nodes.select(F.col("rep").alias("id"), "vec").mapInPandas(_unit(dim, norm), "id long, code binary"), "ann-codes")
     state, path = neighbour_graph(codes, codes.count(), dim)
     queries, _ = stage_path(base.where(is_query).join(nodes, "vec").select(F.col("id").alias("q"), "rep", "vec"), "ann-queries")
-    found = greedy_search(state, queries, dim)
+    found = greedy_search(state, queries, dim, k)
     release(spark, path, codes_path)
     # Of equal vectors the k + 1 smallest ids suffice, as one may be the query's own; the limit applies before rows meet.
     some = base.withColumn("_rn", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("_rn") <= k + 1)
