@@ -14,7 +14,14 @@ def clusters(rng):
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-@pytest.mark.parametrize("make", [clusters])
+def one_long(rng):
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100
+    return x
+
+
+@pytest.mark.parametrize("make", [clusters, one_long])
 def test_recall_of_near_copies_and_beside_a_long_vector(spark, make):
     x = make(np.random.default_rng(3))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
