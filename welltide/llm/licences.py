@@ -1,6 +1,7 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences; normalised sentences that are known give an identifier. The identifiers in the text's order form a sequence;
+A text is cut into sentences at sentence ends and line breaks; normalised sentences that are known give an identifier, also those that single
+line breaks (with or without comment marks) divide: of the sentences that begin at a cut the longest counts. A blank line always ends one. The identifiers in the text's order form a sequence;
 rules, in their order, look for their identifiers side by side in it, and what a rule matched is not seen by later ones. Identifiers that no
 rule used are reported as well. All steps are DataFrame functions inside a row, so nothing is shuffled.
 
@@ -96,11 +97,19 @@ if any(not any(a in s for a in ANCHORS) for s in KNOWN) or any(re.search(_CUT, r
 KNOWN[normal("This Source Code Form is subject to the terms of the Mozilla Public License, v")] = "mpl_terms"
 
 
+def _pattern() -> str:
+    """Known sentences between cuts, longest first. In the text an S is a sentence end or blank line, an L a line break; words are in lower case."""
+    known = sorted(KNOWN, key=lambda k: (-len(k), k))
+    return "(?:^|(?<=[SL])) ?(" + "|".join(k.replace(" ", "(?: ?L ?| )") for k in known) + ")(?= ?(?:[SL]|$))"
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
     t = F.lower(F.coalesce(text, F.lit("")))
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    names = F.transform(F.split(t, _CUT), lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, _OTHER, " "))))
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[.!?;:]\s+", "S"), r"\n", "L"), "[^a-z0-9SL]+", " ")
+    found = F.regexp_extract_all(F.regexp_replace(marked, "L(?: ?L)+", "S"), F.lit(_pattern()), F.lit(1))
+    names = F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, " ?L ?", " ")))
     some = reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in ANCHORS])
     return F.when(some, F.array_compact(names)).otherwise(F.array().cast("array<string>"))
 
