@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from welltide.llm import ann, bpe, chat, exact, langid, licences, mixing, shards, simhash, urls
+from welltide.llm import ann, bpe, chat, exact, kmeans, langid, licences, mixing, negatives, shards, simhash, urls
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_licences": licences.op9_licences,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_clusters": kmeans.op12_clusters,
 }
 
 #: The others need an approximate search, XXH64, CRC-32, byte pairs or a trained model, which SQL does not have.
@@ -24,4 +26,6 @@ ORACLES = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_licences": licences.OP9_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
+    "op11_negatives": negatives.OP11_SQL,
+    "op12_clusters": kmeans.OP12_SQL,
 }
