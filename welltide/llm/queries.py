@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from welltide.llm import ann, bpe, chat, exact, kmeans, langid, licences, mixing, negatives, shards, simhash, urls
+from welltide.llm import ann, bpe, chat, exact, kmeans, langid, licences, maxent, mixing, negatives, shards, simhash, urls
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_negatives": negatives.op11_negatives,
     "op12_clusters": kmeans.op12_clusters,
+    "op13_maxent": maxent.op13_maxent,
 }
 
 #: The others need an approximate search, XXH64, CRC-32, byte pairs or a trained model, which SQL does not have.
