@@ -36,11 +36,11 @@ from welltide.session import release, stage_path
 #: Classes, those of them in the tail, words of a head class, and rows of weights of each softmax.
 CLASSES, TAIL, SLOTS, ROWS = 32, 4, 32, 1 << 14
 #: Frequent words whose numbers every task holds, parts of the training texts, and a constant added to seen and expected numbers.
-NAMED, PARTS, PRIOR = 1 << 16, 4, 0.5
+NAMED, PARTS, PRIOR = 1 << 16, 3, 0.5
 #: Largest weight.
 LIMIT = 18.0
 #: Features of a token, tokens of a block, distinct words a task counts before it hands them on, rows of weights summed together.
-FEATURES, BLOCK, COUNTED, SLAB = 3, 1 << 15, 400_000, 16
+FEATURES, BLOCK, COUNTED, SLAB = 3, 1 << 14, 400_000, 16
 HEAD = (CLASSES - TAIL) * SLOTS
 _END = b"\n"  # no word
 
