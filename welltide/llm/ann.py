@@ -35,8 +35,8 @@ DEGREE, LEAF, TREES, MEETING, PROPOSALS, ROUNDS = 24, 96, 3, 64, 6, 5
 BEAM, OPEN, SEARCH_ROUNDS, EXACT = 448, 128, 16, 64
 #: The search ends when at most this share of all beams' nodes has not been opened.
 UNOPENED = 0.01
-#: Points of one partition of a tree, which a task divides in memory.
-TREE_POINTS = 1 << 16
+#: Points of one partition of a tree, which a task divides in memory; neighbours in one row of the adjacency table.
+TREE_POINTS, TOGETHER = 1 << 16, 6
 
 
 # --- packed columns -------------------------------------------------------------------------------------
@@ -319,14 +319,16 @@ def _post(degree: int):
 
 
 def _adjacency(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of ``to``: one row per node with the ids and codes of the nodes next to it."""
+    """Runs of ``to``: the ids and codes of the nodes next to a node, a few in a row, so that a batch of rows stays small."""
     for f in _whole_runs(frames, "to"):
         f = f[f["to"] != f["id"]]
         to = f["to"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]) if len(to) else np.zeros(1, int)
+        place = np.arange(len(to)) - np.searchsorted(to, to, side="left")
+        start = np.flatnonzero(place % TOGETHER == 0)
+        ends = np.append(start[1:], len(to))
         raw, ids = list(f["code"]), f["id"].to_numpy()
-        yield pd.DataFrame({"u": to[cuts[:-1]] if len(to) else to, "nbr": [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                            "codes": [b"".join(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        yield pd.DataFrame({"u": to[start], "nbr": [ids[a:b].tobytes() for a, b in zip(start, ends[:len(start)], strict=True)],
+                            "codes": [b"".join(raw[a:b]) for a, b in zip(start, ends[:len(start)], strict=True)]})
 
 
 def _sorted_by(df: DataFrame, key: str) -> DataFrame:
@@ -415,7 +417,8 @@ def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sims = np.einsum("ij,ij->i", decode_unit(codes)[:, :-1], query[row, :-1])
             good = sims > f["worst"].to_numpy()[row]
             size = np.bincount(row[good], minlength=len(f))
-            yield pd.DataFrame({"q": f["q"].to_numpy(), "ids": _packed(ids[good], size), "sims": _packed(sims[good].astype(np.float32), size)})
+            some = size > 0
+            yield pd.DataFrame({"q": f["q"].to_numpy()[some], "ids": _packed(ids[good], size[some]), "sims": _packed(sims[good].astype(np.float32), size[some])})
 
 
 def _advance(n_open: int, beam: int):
@@ -495,24 +498,26 @@ def greedy_search(state: DataFrame, queries: DataFrame, dim: int, k: int, degree
     near = _sorted_by(_messages(state, degree, with_far=True), "to").mapInPandas(_adjacency, "u long, nbr binary, codes binary")
     name, where = f"ann_{uuid.uuid4().hex}", scratch_path(spark, "ann-adjacency")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # Bucketed, so that the rounds join it without moving it again.
-    near.write.format("parquet").bucketBy(buckets, "u").sortBy("u").option("path", where).saveAsTable(name)
-    adjacency = spark.table(name)
-    beams, path = stage_path(queries.mapInPandas(_first_beam(dim, entries), _BEAM), "ann-beam")
-    for _ in range(SEARCH_ROUNDS):
-        opened = beams.mapInPandas(_frontier(OPEN, beam), "u long, q long, code binary, worst float").join(adjacency, "u")
-        found = opened.mapInPandas(_score, "q long, ids binary, sims binary")
-        both = beams.select("q", "code", "ids", "sims", "opened").union(found.select("q", F.lit(None).cast("binary"), "ids", "sims", F.lit(b"")))
-        nxt, nxt_path = stage_path(_sorted_by(both, "q").mapInPandas(_advance(OPEN, beam), _BEAM), "ann-beam")
+    try:
+        # Bucketed, so that the rounds join it without moving it again.
+        near.write.format("parquet").bucketBy(buckets, "u").sortBy("u").option("path", where).saveAsTable(name)
+        adjacency = spark.table(name)
+        beams, path = stage_path(queries.mapInPandas(_first_beam(dim, entries), _BEAM), "ann-beam")
+        for _ in range(SEARCH_ROUNDS):
+            opened = beams.mapInPandas(_frontier(OPEN, beam), "u long, q long, code binary, worst float").join(adjacency, "u")
+            found = opened.mapInPandas(_score, "q long, ids binary, sims binary")
+            both = beams.select("q", "code", "ids", "sims", "opened").union(found.select("q", F.lit(None).cast("binary"), "ids", "sims", F.lit(b"")))
+            nxt, nxt_path = stage_path(_sorted_by(both, "q").mapInPandas(_advance(OPEN, beam), _BEAM), "ann-beam")
+            release(spark, path)
+            beams, path = nxt, nxt_path
+            waits, held = beams.agg(F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.sum(F.octet_length("opened")), F.lit(0))).first()
+            if waits <= UNOPENED * held:
+                break
+        out, _ = stage_path(beams.mapInPandas(_candidates(exact, k, dim), "q long, rep long"), "ann-found")
         release(spark, path)
-        beams, path = nxt, nxt_path
-        waits, held = beams.agg(F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.sum(F.octet_length("opened")), F.lit(0))).first()
-        if waits <= UNOPENED * held:
-            break
-    out, _ = stage_path(beams.mapInPandas(_candidates(exact, k, dim), "q long, rep long"), "ann-found")
-    release(spark, path)
-    spark.sql(f"DROP TABLE {name}")
-    release(spark, where)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        release(spark, where)
     return out
 
 
