@@ -48,3 +48,35 @@ def test_well_behaved_well_has_no_anomaly(spark):
     r = C.residuals(f, ["rop", "wob", "torque", "rpm"])
     assert all(x.r_smoothness == 0.0 for x in r.collect())
     assert C.anomalies(C.defects(r, f)).count() == 0
+
+
+def test_tree_of_one_large_well_takes_few_rounds(spark, monkeypatch):
+    """600 bins in one well, with equal bins, besides wells of one and two bins; rounds are the logarithm of the bins."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(590, 3)), np.zeros((10, 3))])
+    data = [(1, 2 * i, 0.0, v.tolist()) for i, v in enumerate(x)] + [(2, 5, 0.0, [1.0, 2.0, 3.0]), (3, 1, 0.0, [0.0, 0.0, 0.0]), (3, 9, 0.0, [0.0, 3.0, 4.0])]
+    v = spark.createDataFrame(data, "well_id int, bin int, centre double, vec array<double>")
+    rounds = []
+    monkeypatch.setattr(T, "_contracted", lambda best, f=T._contracted: (rounds.append(1), f(best))[1])
+    tree = T.spanning_tree(v)
+    assert "applyInPandas" not in tree._jdf.queryExecution().toString() and len(rounds) <= 10
+    got = rows(tree, "well_id", "i", "j", "w")
+    assert [r for r in got if r[0] == 3] == [(3, 1, 9, 5.0)] and not [r for r in got if r[0] == 2]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    a, b = np.triu_indices(600, 1)
+    parent = list(range(600))
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    want = []
+    for k in np.lexsort((b, a, d[a, b])):
+        p, q = find(a[k]), find(b[k])
+        if p != q:
+            parent[q] = p
+            want.append((1, 2 * int(a[k]), 2 * int(b[k])))
+    assert [r[:3] for r in got if r[0] == 1] == sorted(want)
+    assert tree.where("well_id = 1").agg({"dying_n": "max"}).first()[0] >= 1 and T.spanning_tree(v.limit(0)).count() == 0

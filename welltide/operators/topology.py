@@ -6,15 +6,14 @@ pairs are bounded by n_bins * (n_bins - 1) / 2 whatever the number of samples.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from welltide.operators.series import CHUNK, attach
-from welltide.session import stage
+from welltide.session import release, stage, stage_path
 
 c = F.col
 
@@ -109,42 +108,86 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "well_id
 
 # --- spanning trees and what they give -----------------------------------------------------------------
 
-def _tree(g: pd.DataFrame) -> pd.DataFrame:
-    """Minimum spanning tree of one well's bins, merged in order of weight (as many nodes as bins were asked for)."""
-    g = g.sort_values("bin")
-    bins, x = g["bin"].to_numpy(), np.vstack(g["vec"].to_numpy())
-    n = len(bins)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    best, link, done = d[0].copy(), np.zeros(n, dtype=int), np.zeros(n, dtype=bool)
-    done[0] = True
-    rows = []
-    for _ in range(n - 1):
-        k = int(np.argmin(np.where(done, np.inf, best)))
-        rows.append((min(link[k], k), max(link[k], k), best[k]))
-        done[k] = True
-        closer = d[k] < best
-        best, link = np.where(closer, d[k], best), np.where(closer, k, link)
-    rows.sort(key=lambda r: (r[2], r[0], r[1]))
-    member = {i: {i} for i in range(n)}
-    out = []
-    for i, j, w in rows:
-        a, b = member[i], member[j]
-        # The smaller component ends here; on equal sizes the one of the later bin.
-        dying, kept = (a, b) if len(a) < len(b) else (b, a)
-        out.append((bins[i], bins[j], w, bins[min(dying)], bins[max(dying)], len(dying)))
-        kept |= dying
-        for m in dying:
-            member[m] = kept
-    t = pd.DataFrame(out, columns=["i", "j", "w", "dying_lo", "dying_hi", "dying_n"])
-    t.insert(0, "well_id", g["well_id"].iloc[0])
-    return t
-
-
-def spanning_tree(vectors: DataFrame) -> DataFrame:
-    """Tree edges with the bins of the component each merge ends. One small group per well."""
-    kind = dict(vectors.dtypes)["well_id"]
-    return vectors.select("well_id", "bin", "vec").groupBy("well_id").applyInPandas(
-        _tree, f"well_id {kind}, i int, j int, w double, dying_lo int, dying_hi int, dying_n int")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _contracted(best: DataFrame) -> DataFrame:
+    """well_id, part, root: where each component of a well ends up when all follow their lightest edges (part, other).
+
+    Of the two components that chose the same edge the one of the smaller bin is the root. Pointers are doubled on one array per well, which
+    has an entry per component.
+    """
+    g = best.groupBy("well_id").agg(F.sort_array(F.collect_list(F.struct("part", "other"))).alias("_e"))
+    g = g.select("well_id", F.transform("_e", lambda x: x["part"]).alias("_parts"), "_e")
+    g = g.withColumn("_to", F.transform("_e", lambda x: (F.array_position("_parts", x["other"]) - 1).cast("int")))
+    g = g.withColumn("_to", F.transform("_to", lambda x, i: F.when((F.get("_to", x) == i) & (i < x), i).otherwise(x)))
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_to") + 1)).cast("int"))
+    g = g.withColumn("_root", F.aggregate(turns, c("_to"), lambda to, _: F.transform(to, lambda x: F.get(to, x))))
+    g = g.select("well_id", F.explode(F.zip_with("_parts", "_root", lambda p, r: F.struct(p.alias("part"), r.alias("r")))).alias("_x"), "_parts")
+    return g.select("well_id", "_x.part", F.get("_parts", c("_x.r")).alias("root"))
+
+
+def tree_edges(dist: DataFrame) -> DataFrame:
+    """well_id, i, j, w: the minimum spanning tree of each well's weighted edges (i, j, d), by Boruvka's rounds.
+
+    In a round every component takes its lightest edge (ties: the smaller bins), components that are joined become one, edges inside of a
+    component go, and of the edges between two components the lightest stays. Components at least halve in a round, so their number is the
+    logarithm of the bins; edges stay rows that are grouped by (well, component), never by well.
+    """
+    spark = dist.sparkSession
+    edges, path = stage_path(dist.select("well_id", c("i").alias("a"), c("j").alias("b"), F.struct(c("d").alias("w"), "i", "j").alias("e")), "tree-edges")
+    found = []
+    while not edges.isEmpty():
+        both = edges.select("well_id", c("a").alias("part"), c("b").alias("other"), "e").union(edges.select("well_id", "b", "a", "e"))
+        best, best_path = stage_path(both.groupBy("well_id", "part").agg(F.min(F.struct("e", "other")).alias("m")).select("well_id", "part", "m.e", "m.other"), "tree-lightest")
+        found.append(best)
+        to = _contracted(best)
+        at = lambda x: to.select("well_id", c("part").alias(x), c("root").alias(f"_{x}"))
+        moved = edges.join(at("a"), ["well_id", "a"]).join(at("b"), ["well_id", "b"]).where("_a <> _b")
+        less = moved.groupBy("well_id", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e"))
+        nxt, nxt_path = stage_path(less, "tree-edges")
+        release(spark, path)
+        edges, path = nxt, nxt_path
+    if not found:
+        return edges.select("well_id", "e.i", "e.j", "e.w")
+    return reduce(DataFrame.union, [b.select("well_id", "e.i", "e.j", "e.w") for b in found]).distinct()
+
+
+def merges(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """Tree edges with the bins of the component that each one ends, when edges are added in order of weight.
+
+    The smaller component ends; on equal sizes the one of the later bin. One array of labels and one of edges per well, as long as its bins.
+    """
+    n = nodes.groupBy("well_id").agg(F.sort_array(F.collect_set("bin")).alias("_bins"))
+    e = tree.groupBy("well_id").agg(F.sort_array(F.collect_list(F.struct("w", "i", "j"))).alias("_e"))
+    g = n.join(e, "well_id").withColumn("_places", F.sequence(F.lit(0), F.size("_bins") - 1))
+    g = g.withColumn("_e", F.transform("_e", lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"), x["j"].alias("j"), (F.array_position("_bins", x["i"]) - 1).cast("int").alias("a"),
+                                                               (F.array_position("_bins", x["j"]) - 1).cast("int").alias("b"))))
+    kind = f"array<struct<i:{dict(nodes.dtypes)['bin']},j:{dict(nodes.dtypes)['bin']},w:double,lo:int,hi:int,n:int>>"
+    size = lambda labels, x: F.size(F.filter(labels, lambda y: y == x))
+
+    def add(state: Column, x: Column) -> Column:
+        labels = state["labels"]
+        sides = F.struct(F.get(labels, x["a"]).alias("a"), F.get(labels, x["b"]).alias("b"))
+        sized = lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), (size(labels, t["a"]) < size(labels, t["b"])).alias("first"))
+        ends = lambda t: F.struct(F.when(t["first"], t["a"]).otherwise(t["b"]).alias("ends"), F.when(t["first"], t["b"]).otherwise(t["a"]).alias("stays"))
+        placed = lambda t: F.struct(t["ends"].alias("ends"), t["stays"].alias("stays"), F.filter("_places", lambda k: F.get(labels, k) == t["ends"]).alias("at"))
+        done = lambda t: F.struct(
+            F.transform(labels, lambda y: F.when(y == t["ends"], t["stays"]).otherwise(y)).alias("labels"),
+            F.concat(state["out"], F.array(F.struct(x["i"].alias("i"), x["j"].alias("j"), x["w"].alias("w"), F.get(t["at"], 0).alias("lo"), F.element_at(t["at"], -1).alias("hi"),
+                                                    F.size(t["at"]).alias("n")))).cast(kind).alias("out"))
+        return _let(sides, lambda s: _let(sized(s), lambda z: _let(ends(z), lambda y: _let(placed(y), done))))
+
+    start = F.struct(c("_places").alias("labels"), F.array().cast(kind).alias("out"))
+    g = g.select("well_id", "_bins", F.explode(F.aggregate("_e", start, add)["out"]).alias("_o"))
+    return g.select("well_id", "_o.i", "_o.j", "_o.w", F.get("_bins", c("_o.lo")).alias("dying_lo"), F.get("_bins", c("_o.hi")).alias("dying_hi"), c("_o.n").alias("dying_n"))
+
+
+def spanning_tree(vectors: DataFrame, dist: DataFrame | None = None) -> DataFrame:
+    """Tree edges (well_id, i, j, w) with the bins of the component each merge ends (dying_lo, dying_hi, dying_n)."""
+    return merges(vectors, tree_edges(bin_distances(vectors) if dist is None else dist))
 
 
 def well_curves(vectors: DataFrame, dist: DataFrame, tree: DataFrame, n_steps: int = 50) -> DataFrame:

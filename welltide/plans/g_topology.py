@@ -33,7 +33,7 @@ def distances(spark, sf):
 
 
 def tree(spark, sf):
-    return shared(spark, sf, "spanning-tree", lambda: T.spanning_tree(vectors(spark, sf)))
+    return shared(spark, sf, "spanning-tree", lambda: T.spanning_tree(vectors(spark, sf), distances(spark, sf)))
 
 
 def curves(spark, sf):
