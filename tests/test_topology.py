@@ -80,3 +80,14 @@ def test_tree_of_one_large_well_takes_few_rounds(spark, monkeypatch):
             want.append((1, 2 * int(a[k]), 2 * int(b[k])))
     assert [r[:3] for r in got if r[0] == 1] == sorted(want)
     assert tree.where("well_id = 1").agg({"dying_n": "max"}).first()[0] >= 1 and T.spanning_tree(v.limit(0)).count() == 0
+
+
+def test_similar_wells_are_all_pairs_above_the_bound(spark):
+    rng = np.random.default_rng(7)
+    h = rng.dirichlet(np.full(10, 0.3), 150)
+    h = np.concatenate([h, h[:20] + rng.normal(size=(20, 10)) * 0.01, np.repeat(h[:1], 5, axis=0)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(h)], "well_id int, histogram array<double>")
+    for least in (0.97, 0.9, 0.5, 0.0):
+        want = {(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if max(0.0, 1 - np.sqrt(((h[i] - h[j]) ** 2).sum()) / np.sqrt(2)) >= least}
+        assert {(r.well_a, r.well_b) for r in C.similar_wells(df, least).collect()} == want
+    assert C.similar_wells(df.limit(0), 0.9).count() == 0 and C.similar_wells(df.limit(1), 0.9).count() == 0

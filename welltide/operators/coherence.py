@@ -202,6 +202,29 @@ def compare_wells(fp: DataFrame, pairs: DataFrame) -> DataFrame:
                     F.greatest(F.lit(0.0), F.lit(1.0) - dist / F.sqrt(F.lit(2.0))).alias("similarity"))
 
 
+def similar_wells(fp: DataFrame, least: float, pivots: int = 4) -> DataFrame:
+    """well_a, well_b, similarity of all pairs of wells whose similarity is ``least`` or more, without the table of all pairs.
+
+    Distances to a few pivot wells bound a pair's distance from below (triangle inequality). Wells are put in cells of the distances to the
+    first two pivots, as wide as the largest distance that counts, so a pair lies in neighbouring cells; the other pivots are compared before
+    the histograms are.
+    """
+    reach = max((1.0 - least) * 2.0 ** 0.5, 1e-9)
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    far = fp.orderBy(F.xxhash64("well_id"), "well_id").select("histogram").limit(pivots).collect()
+    to = [apart(c("histogram"), F.array(*[F.lit(x) for x in r["histogram"]])) for r in far]
+    w = fp.select("well_id", "histogram", F.array(*to).cast("array<double>").alias("to"))
+    cell = lambda i: F.coalesce(F.floor(F.get("to", i) / reach), F.lit(0).cast("bigint"))
+    near = F.array(*[F.lit(x) for x in (-1, 0, 1)])
+    a = w.select(c("well_id").alias("well_a"), c("histogram").alias("_ha"), c("to").alias("_ta"), cell(0).alias("_g"), cell(1).alias("_h"))
+    b = w.select(c("well_id").alias("well_b"), c("histogram").alias("_hb"), c("to").alias("_tb"), cell(0).alias("_g"), cell(1).alias("_h"))
+    b = b.withColumn("_x", F.explode(near)).withColumn("_y", F.explode(near)).withColumns({"_g": c("_g") + c("_x"), "_h": c("_h") + c("_y")}).drop("_x", "_y")
+    possible = F.forall(F.zip_with("_ta", "_tb", lambda x, y: F.abs(x - y)), lambda d: d <= reach * (1 + 1e-9) + 1e-12)
+    j = a.join(b, ["_g", "_h"]).where("well_a < well_b").where(possible)
+    similarity = F.greatest(F.lit(0.0), F.lit(1.0) - apart(c("_ha"), c("_hb")) / F.sqrt(F.lit(2.0)))
+    return j.select("well_a", "well_b", similarity.alias("similarity")).where(c("similarity") >= least)
+
+
 def baseline_contrast(current: DataFrame, baseline: DataFrame, pairs: DataFrame, stride: float = 100.0) -> DataFrame:
     """Coherence of one well over another's on a common depth grid: mean ratio and counts below 0.8 and above 1.2.
 

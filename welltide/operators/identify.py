@@ -117,6 +117,11 @@ def tier(wits: Column, mnemonic: Column, description: Column, unit: Column) -> t
     return canonical, F.when(canonical.isNotNull(), "core").when(drilling, "suggested").otherwise("parked")
 
 
+def select_for_intents(channels: DataFrame, intents: DataFrame) -> DataFrame:
+    """The channels with every intent (intent, canonical) that they belong to; a caller's own set is one more intent."""
+    return channels.join(intents, "canonical")
+
+
 def select_for_intent(channels: DataFrame, intents: DataFrame, intent: str) -> DataFrame:
     """Channels whose canonical name belongs to the intent. The intent dimension is a code constant."""
     return channels.join(F.broadcast(intents.where(F.col("intent") == intent)), "canonical", "left_semi")

@@ -30,22 +30,22 @@ def depth_bucket():
 
 HALF_DAY = 43200.0
 
-ASOF = f"""{M}, l AS (SELECT well_id, pos, epoch_us(ts) / 1e6::DOUBLE AS t, value FROM meas WHERE wits_id = '0130'),
+ASOF = f"""{M}, l AS (SELECT well_id, wits_id, pos, epoch_us(ts) / 1e6::DOUBLE AS t, value FROM meas),
  r AS (SELECT well_id, epoch_us(ts) / 1e6::DOUBLE AS t, depth FROM meas WHERE wits_id = '0120'),
- bk AS (SELECT l.well_id, l.pos, r.t AS bt, r.depth AS bd FROM l ASOF LEFT JOIN r ON l.well_id = r.well_id AND l.t >= r.t),
- fw AS (SELECT l.well_id, l.pos, r.t AS ft, r.depth AS fd FROM l ASOF LEFT JOIN r ON l.well_id = r.well_id AND l.t <= r.t),
- n AS (SELECT l.well_id, l.pos, l.value, l.t, CASE WHEN ft IS NULL OR (bt IS NOT NULL AND l.t - bt <= ft - l.t) THEN bt ELSE ft END AS near_t,
-   CASE WHEN ft IS NULL OR (bt IS NOT NULL AND l.t - bt <= ft - l.t) THEN bd ELSE fd END AS nd FROM l JOIN bk USING (well_id, pos) JOIN fw USING (well_id, pos))"""
+ bk AS (SELECT l.well_id, l.wits_id, l.pos, r.t AS bt, r.depth AS bd FROM l ASOF LEFT JOIN r ON l.well_id = r.well_id AND l.t >= r.t),
+ fw AS (SELECT l.well_id, l.wits_id, l.pos, r.t AS ft, r.depth AS fd FROM l ASOF LEFT JOIN r ON l.well_id = r.well_id AND l.t <= r.t),
+ n AS (SELECT l.well_id, l.wits_id, l.pos, l.value, l.t, CASE WHEN ft IS NULL OR (bt IS NOT NULL AND l.t - bt <= ft - l.t) THEN bt ELSE ft END AS near_t,
+   CASE WHEN ft IS NULL OR (bt IS NOT NULL AND l.t - bt <= ft - l.t) THEN bd ELSE fd END AS nd FROM l JOIN bk USING (well_id, wits_id, pos) JOIN fw USING (well_id, wits_id, pos))"""
 
 
-@query("asof_nearest", f"{ASOF} SELECT well_id, pos, CASE WHEN abs(near_t - t) <= {HALF_DAY} THEN nd END AS depth, CASE WHEN abs(near_t - t) <= {HALF_DAY} THEN abs(near_t - t) END AS gap_s FROM n",
+@query("asof_nearest", f"{ASOF} SELECT well_id, wits_id, pos, CASE WHEN abs(near_t - t) <= {HALF_DAY} THEN nd END AS depth, CASE WHEN abs(near_t - t) <= {HALF_DAY} THEN abs(near_t - t) END AS gap_s FROM n",
        dbl="depth gap_s:3")
 def q_asof(spark, sf):
+    """A depth for every sample of every channel, from the channel that stands in for the recorder's depth source."""
     m = measurements(spark, sf).withColumn("t", seconds())
-    l = m.where("wits_id = '0130'").select("well_id", "t", "pos", "value")
     r = m.where("wits_id = '0120'").select("well_id", "t", "depth")
-    n = J.nearest(l, r, ["well_id"], "t", "depth", day_bucket(), HALF_DAY)
-    return n.select("well_id", "pos", c("near.value").alias("depth"), c("distance").alias("gap_s"))
+    n = J.nearest(m.select("well_id", "t", "wits_id", "pos", "value"), r, ["well_id"], "t", "depth", day_bucket(), HALF_DAY)
+    return n.select("well_id", "wits_id", "pos", c("near.value").alias("depth"), c("distance").alias("gap_s"))
 
 
 def probes(spark, sf):
@@ -58,16 +58,18 @@ def probes(spark, sf):
 PROBE_SQL = "probes AS (SELECT o_custkey % 150 AS well_id, o_orderkey AS probe_id, 5000.05::DOUBLE + o_orderkey % 1000 AS depth FROM orders)"
 
 
-@query("nearest_depth", f"""{M}, {PROBE_SQL}, s AS (SELECT well_id, depth, value FROM meas WHERE wits_id = '0113'),
- b AS (SELECT p.well_id, probe_id, s.depth bd, s.value bv FROM probes p ASOF LEFT JOIN s ON p.well_id = s.well_id AND p.depth >= s.depth),
- f AS (SELECT p.well_id, probe_id, s.depth fd, s.value fv FROM probes p ASOF LEFT JOIN s ON p.well_id = s.well_id AND p.depth <= s.depth)
- SELECT p.well_id, p.probe_id, CASE WHEN fd IS NULL OR (bd IS NOT NULL AND p.depth - bd <= fd - p.depth) THEN bd ELSE fd END AS at_depth,
-  CASE WHEN fd IS NULL OR (bd IS NOT NULL AND p.depth - bd <= fd - p.depth) THEN bv ELSE fv END AS value FROM probes p JOIN b USING (well_id, probe_id) JOIN f USING (well_id, probe_id)""",
+@query("nearest_depth", f"""{M}, {PROBE_SQL}, s AS (SELECT well_id, wits_id, depth, value FROM meas), pc AS (SELECT probes.*, wits_id FROM probes JOIN (SELECT DISTINCT well_id, wits_id FROM meas) USING (well_id)),
+ b AS (SELECT p.well_id, p.wits_id, probe_id, s.depth bd, s.value bv FROM pc p ASOF LEFT JOIN s ON p.well_id = s.well_id AND p.wits_id = s.wits_id AND p.depth >= s.depth),
+ f AS (SELECT p.well_id, p.wits_id, probe_id, s.depth fd, s.value fv FROM pc p ASOF LEFT JOIN s ON p.well_id = s.well_id AND p.wits_id = s.wits_id AND p.depth <= s.depth)
+ SELECT p.well_id, p.probe_id, p.wits_id, CASE WHEN fd IS NULL OR (bd IS NOT NULL AND p.depth - bd <= fd - p.depth) THEN bd ELSE fd END AS at_depth,
+  CASE WHEN fd IS NULL OR (bd IS NOT NULL AND p.depth - bd <= fd - p.depth) THEN bv ELSE fv END AS value FROM pc p JOIN b USING (well_id, probe_id, wits_id) JOIN f USING (well_id, probe_id, wits_id)""",
        dbl="at_depth value")
 def q_nearest_depth(spark, sf):
-    s = measurements(spark, sf).where("wits_id = '0113'").select("well_id", "depth", "value")
-    n = J.nearest(probes(spark, sf), s, ["well_id"], "depth", "value", depth_bucket())
-    return n.select("well_id", "probe_id", c("near.at").alias("at_depth"), c("near.value").alias("value"))
+    """For each probe the nearest sample of each channel of its well."""
+    s = measurements(spark, sf).select("well_id", "wits_id", "depth", "value")
+    p = probes(spark, sf).join(s.select("well_id", "wits_id").distinct(), "well_id")
+    n = J.nearest(p, s, ["well_id", "wits_id"], "depth", "value", depth_bucket())
+    return n.select("well_id", "probe_id", "wits_id", c("near.at").alias("at_depth"), c("near.value").alias("value"))
 
 
 @query("depth_grid_resample", f"""{M}, s AS (SELECT well_id, wits_id, depth, value FROM meas), lim AS (SELECT well_id, wits_id, min(depth) a, max(depth) b FROM s GROUP BY 1, 2),
@@ -272,11 +274,16 @@ def q_tiers(spark, sf):
 INTENT_SQL = dims.values_sql("it", "intent, canonical", dims.intent_rows())
 
 
-@query("intent_selection", f"WITH {PART_SQL}, {TIER}, {INTENT_SQL} SELECT part, well_id, canonical FROM tier WHERE canonical IN (SELECT canonical FROM it WHERE intent = 'MPD Operations')")
+OWN_SET = ["flow_in", "rop"]
+
+
+@query("intent_selection", f"WITH {PART_SQL}, {TIER}, {INTENT_SQL}, every AS (SELECT intent, canonical FROM it UNION ALL SELECT 'Custom', unnest({OWN_SET!r})) SELECT part, well_id, intent, canonical FROM tier JOIN every USING (canonical)")
 def q_intent(spark, sf):
+    """Channels of every intent, and of a caller's own set."""
     can, _ = I.tier(c("wits_id"), c("mnemonic"), c("description"), c("units"))
-    it = dims.frame(spark, dims.intent_rows(), "intent string, canonical string")
-    return I.select_for_intent(part_channels(spark, sf).select("part", "well_id", can.alias("canonical")), it, "MPD Operations").select("part", "well_id", "canonical")
+    it = dims.frame(spark, dims.intent_rows() + [("Custom", x) for x in OWN_SET], "intent string, canonical string")
+    channels = part_channels(spark, sf).select("part", "well_id", can.alias("canonical"))
+    return I.select_for_intents(channels, it).select("part", "well_id", "intent", "canonical")
 
 
 @query("description_match", f"WITH {PART_SQL} SELECT part, description, {TEXT_SQL} AS canonical FROM r1")

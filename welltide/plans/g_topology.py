@@ -346,6 +346,12 @@ def q_cmp(spark, sf):
     return C.compare_wells(prints(spark, sf), neighbours_of(spark, sf)).drop("anomaly_rate_ratio")
 
 
+@query("well_similarity", f"WITH {FP}, sm AS (SELECT a.well_id AS well_a, b.well_id AS well_b, greatest(0, 1 - list_distance(a.histogram, b.histogram) / sqrt(2)) AS similarity FROM fp a JOIN fp b ON a.well_id < b.well_id) SELECT * FROM sm WHERE similarity >= 0.93", dbl="similarity")
+def q_similar(spark, sf):
+    """All pairs of wells with fingerprints of similarity 0.93 or more."""
+    return C.similar_wells(prints(spark, sf), 0.93)
+
+
 @query("baseline_contrast", f"""WITH {WIN}, pr AS (SELECT s_suppkey AS wa, s_suppkey + 1 AS wb FROM supplier), li AS (SELECT well_id, min(centre) AS a, max(centre) AS b FROM wc GROUP BY 1),
  g AS (SELECT wa, wb, greatest(x.a, y.a) + 100.0 * k AS x FROM pr JOIN li x ON x.well_id = wa JOIN li y ON y.well_id = wb, generate_series(0, 2000) g(k) WHERE greatest(x.a, y.a) + 100.0 * k < least(x.b, y.b)),
  ip AS (SELECT g.*, w AS side, (SELECT max_by(coherence, centre) FROM wc WHERE well_id = w AND centre <= x) AS v0, (SELECT max(centre) FROM wc WHERE well_id = w AND centre <= x) AS x0, (SELECT min_by(coherence, centre) FROM wc WHERE well_id = w AND centre > x) AS v1, (SELECT min(centre) FROM wc WHERE well_id = w AND centre > x) AS x1

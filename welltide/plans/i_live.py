@@ -66,10 +66,10 @@ def q_held(spark, sf):
     return run(spark, sf, "held", live.held_flags(live.read_landing(spark, landing(spark, sf)), 40.0, 3))
 
 
-@query("stream_state_sessions", f"""WITH {MEAS_SQL}, t AS (SELECT *, CASE WHEN value >= 40 THEN 'pumping' ELSE 'idle' END AS state FROM meas WHERE wits_id = '0130' AND value IS NOT NULL), a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY well_id, state ORDER BY ts)), b AS (SELECT *, sum(st) OVER (PARTITION BY well_id, state ORDER BY ts) AS s FROM a)
- SELECT well_id::VARCHAR AS well_id, state, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM b GROUP BY well_id, state, s HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM meas) - INTERVAL 10 MINUTE""")
+@query("stream_state_sessions", f"""WITH {MEAS_SQL}, t AS (SELECT *, CASE WHEN value >= 40 THEN 'high' ELSE 'low' END AS state FROM meas WHERE value IS NOT NULL), a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY well_id, wits_id, state ORDER BY ts)), b AS (SELECT *, sum(st) OVER (PARTITION BY well_id, wits_id, state ORDER BY ts) AS s FROM a)
+ SELECT well_id::VARCHAR AS well_id, wits_id, state, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM b GROUP BY well_id, wits_id, state, s HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM meas) - INTERVAL 10 MINUTE""")
 def q_state_sessions(spark, sf):
-    """Sessions per well and pump state."""
-    d = live.read_landing(spark, landing(spark, sf)).where("wits_id = '0130' and value is not null")
-    d = d.withColumn("state", F.when(c("value") >= 40, "pumping").otherwise("idle"))
-    return run(spark, sf, "state-sessions", live.sessions(d, "12 hours", ("well_id", "state")))
+    """Sessions per channel and state, for every channel of every well."""
+    d = live.read_landing(spark, landing(spark, sf)).where("value is not null")
+    d = d.withColumn("state", F.when(c("value") >= 40, "high").otherwise("low"))
+    return run(spark, sf, "state-sessions", live.sessions(d, "12 hours", ("well_id", "wits_id", "state")))
