@@ -103,3 +103,12 @@ def test_rows_of_weights_are_added_once_each():
     maxent._add_rows(got, rows, values)
     np.add.at(want, rows, values)
     assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_most_frequent_words_with_ties(spark):
+    rows = [(f"w{i}".encode(), 1 + (i * 7919) % 50 if i % 3 else 1000 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "word binary, c long").repartition(9)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for most in (1, 600, 800, 1999, 5000):
+        assert [(bytes(r.word), r.c) for r in maxent.most_frequent(df, most)] == want[:most]
+    assert maxent.most_frequent(df.limit(0), 5) == []

@@ -92,9 +92,21 @@ class Vocabulary:
         return np.array([w[-1] for w in self.names] + [0], dtype=np.int64) % TAIL
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The ``most`` words of the largest counts. Levels of the counts' logarithms, a few thousand, tell from which one on words can be among
+    them, so that tasks hand these words only to the driver and not as many as are wanted each."""
+    level = F.floor(F.log2("c") * 32)
+    at, total = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        at, total = r["level"], total + r["count"]
+        if total >= most:
+            break
+    return counts.where(level >= at).orderBy(F.desc("c"), "word").limit(most).collect()
+
+
 def vocabulary(counts: DataFrame, named: int = NAMED) -> Vocabulary:
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(max(named, HEAD)).collect()
+    top = most_frequent(counts, max(named, HEAD))
     names, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], dtype=np.int64)
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
     mass = np.zeros(TAIL)
