@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from welltide.operators.correlations import pair_correlations
+
 
 def neighbours(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
                payloads: Sequence[str]) -> DataFrame:
@@ -84,20 +86,6 @@ def depth_correlations(wide: DataFrame, key: str, x: str, channels: list[str], b
     return pair_correlations(n, [key], channels)
 
 
-def pair_correlations(df: DataFrame, keys: Sequence[str], channels: list[str]) -> DataFrame:
-    """Long table of correlations of all channel pairs: pairs become rows inside the scan and partial sums leave it.
-
-    The plan stays the same size for any number of channels.
-    """
-    pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1:]]
-    rows = F.array(*[F.struct(F.lit(a).alias("channel_a"), F.lit(b).alias("channel_b"), F.col(a).cast("double").alias("va"), F.col(b).cast("double").alias("vb")) for a, b in pairs])
-    both = F.col("va").isNotNull() & F.col("vb").isNotNull()
-    # corr() divides by zero where a channel is constant; the squared forms give null there, one for each side.
-    r2 = F.sqrt(F.when(F.regr_r2("vb", "va").isNotNull(), F.regr_r2("va", "vb")))
-    return df.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*").groupBy(*keys, "channel_a", "channel_b").agg(
-        F.count(F.when(both, 1)).alias("n"), (F.signum(F.covar_pop("va", "vb")) * r2).alias("r"))
-
-
 def merge_files(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Full outer merge of two logs; where both carry a column the left value wins."""
     on = list(on)
