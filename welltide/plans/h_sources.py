@@ -220,6 +220,19 @@ def q_catalogue(spark, sf):
     return count(found, "n_files").join(count(first, "n_registered"), "ip").join(count(again, "n_again"), "ip", "left").na.fill(0, ["n_again"])
 
 
+@query("file_ranges", f"""WITH {RIG_SQL}, f AS (SELECT DISTINCT ip, wits_id, 0 AS older FROM rs UNION ALL SELECT DISTINCT ip, wits_id, 1 FROM rs WHERE event_id % 10 = 0 UNION ALL SELECT DISTINCT {IP('p_partkey')}, 'idtable', 0 FROM part)
+ SELECT ip, count(*) AS n_files, count(*) AS n_hashes, 0 AS n_unlike FROM f GROUP BY 1""", whole="n_unlike")
+def q_ranges(spark, sf):
+    """Files of the dump folder per recorder, their different hashes from ranges of 16 KiB, and how many of the groups of equal
+    hashes are not those of hashes over whole files."""
+    path = depth_folder(spark, sf)
+    few = files.file_roots(files.range_hashes(spark, path, 16 << 10)).select("original_path", c("root").alias("few"))
+    one = files.file_roots(files.range_hashes(spark, path)).select("original_path", c("root").alias("one"))
+    both = few.join(one, "original_path").withColumn("ip", F.regexp_extract("original_path", dumps.NAME, 1))
+    return both.groupBy("ip").agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("few").alias("n_hashes"),
+                                  (2 * F.countDistinct("few", "one") - F.countDistinct("few") - F.countDistinct("one")).alias("n_unlike"))
+
+
 @query("computed_round_trip", f"WITH {WIDE_SQL}, m AS (SELECT {IP('well_id')} AS ip, {MSE} AS v FROM wide) SELECT ip, '9004' AS wits_id, true AS is_computed, count(*) AS n, avg(v) AS mean, max(v) AS top FROM m GROUP BY 1", dbl="mean:3 top:3")
 def q_computed(spark, sf):
     def write(p):

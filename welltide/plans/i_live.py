@@ -66,6 +66,32 @@ def q_held(spark, sf):
     return run(spark, sf, "held", live.held_flags(live.read_landing(spark, landing(spark, sf)), 40.0, 3))
 
 
+SLOT_HOURS, SPREAD_HOURS = 72, 12
+
+
+def shuffled_landing(spark, sf):
+    """Samples in slots of three days written one after the other, each sample up to half a day after its time, in any order within a slot."""
+    def write(p):
+        m = measurements(spark, sf)
+        hour = F.floor(F.unix_timestamp("ts") / 3600)
+        m = m.withColumn("slot", F.floor((hour + F.pmod(F.xxhash64("event_id"), F.lit(SPREAD_HOURS))) / SLOT_HOURS))
+        line = F.concat_ws("\t", c("well_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.concat(c("wits_id"), F.lit("="), c("value").cast("string")))
+        lo, hi = m.agg(F.min("slot"), F.max("slot")).first()
+        for slot in range(lo, hi + 1) if lo is not None else []:
+            m.where(c("slot") == slot).select(line.alias("value")).write.mode("append").text(p)
+    return folder(spark, sf, "shuffled-landing", write)
+
+
+@query("stream_held_in_order", f"""WITH {MEAS_SQL}, o AS (SELECT well_id, wits_id, ts, value, value >= 40 AS up, row_number() OVER w AS r, count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS k, min(value >= 40) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a, max(value >= 40) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS b FROM meas WHERE value IS NOT NULL WINDOW w AS (PARTITION BY well_id, wits_id ORDER BY ts, value)),
+ h AS (SELECT *, last_value(CASE WHEN r = 1 OR (a = b AND k = 2) THEN up END IGNORE NULLS) OVER (PARTITION BY well_id, wits_id ORDER BY r) AS held FROM o)
+ SELECT well_id::VARCHAR AS well_id, wits_id, ts, value, held FROM h WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM meas) - INTERVAL 4 DAY""", dbl="value")
+def q_held_in_order(spark, sf):
+    """Held flags of samples that land out of order over several triggers: those of the batch job, up to the watermark."""
+    live.rocks(spark)
+    d = live.read_landing(spark, shuffled_landing(spark, sf), 4 * spark.sparkContext.defaultParallelism, "4 days")
+    return run(spark, sf, "held-in-order", live.held_flags_in_order(d, 40.0, 3))
+
+
 @query("stream_state_sessions", f"""WITH {MEAS_SQL}, t AS (SELECT *, CASE WHEN value >= 40 THEN 'high' ELSE 'low' END AS state FROM meas WHERE value IS NOT NULL), a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY well_id, wits_id, state ORDER BY ts)), b AS (SELECT *, sum(st) OVER (PARTITION BY well_id, wits_id, state ORDER BY ts) AS s FROM a)
  SELECT well_id::VARCHAR AS well_id, wits_id, state, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM b GROUP BY well_id, wits_id, state, s HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM meas) - INTERVAL 10 MINUTE""")
 def q_state_sessions(spark, sf):

@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 c = F.col
 LATE = "10 minutes"
 
 
-def read_landing(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+def read_landing(spark: SparkSession, folder: str, files_per_trigger: int = 1000, late: str = LATE) -> DataFrame:
     """Time rows ``well \\t timestamp \\t id=value,...`` as samples, as they land. Late rows past the watermark drop out."""
     raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     p = F.split("value", "\t")
     d = raw.select(F.get(p, 0).alias("well_id"), F.try_to_timestamp(F.get(p, 1)).alias("ts"), F.explode(F.split(F.get(p, 2), ",")).alias("_t"))
     d = d.where(c("ts").isNotNull() & F.contains("_t", F.lit("=")))
     return d.select("well_id", "ts", F.trim(F.substring_index("_t", "=", 1)).alias("wits_id"), F.expr("try_cast(trim(substr(_t, instr(_t, '=') + 1)) AS DOUBLE)").alias("value")) \
-        .withWatermark("ts", LATE)
+        .withWatermark("ts", late)
 
 
 def windowed_stats(samples: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -82,6 +83,72 @@ def held_flags(samples: DataFrame, threshold: float, n: int, idle: str = "365 da
         step, "well_id string, wits_id string, ts timestamp, held boolean", "held boolean, run int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class HeldFlag(StatefulProcessor):
+    """Held flag of one (well, channel) over samples that come in any order within the watermark's delay.
+
+    Samples wait in buckets of event time, in a map of packed rows. A timer at a bucket's end hands the bucket on once the watermark has passed
+    it, when nothing can be added to it any more, so memory holds one bucket of one key. The flag goes ``idle_ms`` after the last bucket.
+    """
+
+    ROW = np.dtype([("at", "<i8"), ("value", "<f8")])
+
+    def __init__(self, threshold: float, n: int, bucket_ms: int, idle_ms: int):
+        self.threshold, self.n, self.bucket_ms, self.idle_ms = threshold, n, bucket_ms, -(-idle_ms // bucket_ms) * bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flag = handle.getValueState("flag", "held boolean, run int, last long")
+        self.waiting = handle.getMapState("waiting", "bucket long", "samples binary")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            self.flag.update((bool(r.held), int(r.run), 0))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            new = np.empty(len(f), dtype=self.ROW)
+            new["at"], new["value"] = f["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), f["value"].to_numpy()
+            bucket = new["at"] // (1000 * self.bucket_ms)
+            for b in np.unique(bucket).tolist():
+                held = bytes(self.waiting.getValue((b,))[0]) if self.waiting.containsKey((b,)) else b""
+                self.waiting.updateValue((b,), (held + new[bucket == b].tobytes(),))
+                if not held:
+                    self.handle.registerTimer((b + 1) * self.bucket_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        b = end // self.bucket_ms - 1
+        held, run, last = self.flag.get() if self.flag.exists() else (None, 0, 0)
+        if not self.waiting.containsKey((b,)):
+            if last + self.idle_ms == end:
+                self.flag.clear()
+            return
+        rows = np.sort(np.frombuffer(bytes(self.waiting.getValue((b,))[0]), dtype=self.ROW), order=["at", "value"])
+        self.waiting.removeKey((b,))
+        flags, held, run = flip_after(rows["value"] >= self.threshold, held, run, self.n)
+        self.flag.update((held, run, end))
+        self.handle.registerTimer(end + self.idle_ms)
+        yield pd.DataFrame({"well_id": key[0], "wits_id": key[1], "ts": rows["at"].astype("datetime64[us]"), "value": rows["value"], "held": flags})
+
+
+def held_flags_in_order(samples: DataFrame, threshold: float, n: int, before: DataFrame | None = None, bucket: str = "1 hour", idle: str = "365 days") -> DataFrame:
+    """The batch job's hysteresis on samples that land out of order: equal to it for every sample the watermark lets in.
+
+    A flag comes out once the watermark has passed its bucket of event time; samples of one instant count in order of value. ``before``
+    (well_id, wits_id, held, run) goes on from what a batch job ended with. The query needs the RocksDB state store (``rocks``).
+    """
+    ms = lambda t: int(pd.Timedelta(t).total_seconds() * 1000)
+    return samples.where("value is not null").groupBy("well_id", "wits_id").transformWithStateInPandas(
+        HeldFlag(threshold, n, ms(bucket), ms(idle)), "well_id string, wits_id string, ts timestamp, value double, held boolean", "Append", "EventTime",
+        None if before is None else before.groupBy("well_id", "wits_id"))
+
+
+def rocks(spark: SparkSession) -> None:
+    """Keep the state of queries started from now on in RocksDB, on disk, which state of several kinds needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that has landed, into a parquet table, and stop."""
     if mode == "append":
