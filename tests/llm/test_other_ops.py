@@ -185,6 +185,20 @@ def test_raking_meets_all_margins():
     assert ratio.max() == pytest.approx(ratio.min())
 
 
+def test_targets_that_contradict_each_other_are_refused():
+    cells = pd.DataFrame([("a", "x", "t", 100.0), ("a", "y", "t", 100.0), ("b", "x", "t", 100.0)], columns=["source", "lang", "topic", "mass"])
+    own = ["source", "lang", "topic"]
+    with pytest.raises(ValueError, match="source by 0.4000"):  # (b, y) has no documents
+        mixing.cell_rates(cells, own, {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.3, "y": 0.7}}, 0.5)
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.cell_rates(cells[1:], own, {"source": {"a": 1.0}, "lang": {"x": 1.0}}, 0.5)  # nothing is left
+    slow = mixing.cell_rates(cells, own, {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.5, "y": 0.5}}, 0.5)
+    assert slow.weight.tolist() == pytest.approx([0.1, 0.5, 0.4], abs=mixing.TOLERANCE) and slow.gap.max() <= mixing.TOLERANCE
+    more = pd.concat([cells, pd.DataFrame([("c", "x", "t", 100.0)], columns=cells.columns)])  # y wants a half, but only a has it
+    with pytest.warns(UserWarning, match="not all met"):
+        assert mixing.cell_rates(more, own, {"source": None}, 0.0).weight.sum() == pytest.approx(1)
+
+
 def test_draws_follow_their_rates(spark):
     rows = [(i, f"text {i} " * 5, "en" if i % 4 else None, "a" if i % 3 else "b", 1) for i in range(6000)] + [(7000, None, "en", "a", 0), (None, "", None, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"row": F.lit(1), "rate": F.lit(1), "topic": F.lit(1), "s": F.lit(1)})

@@ -4,6 +4,9 @@ The token mass of each cell (source, language, topic) is raked: source, language
 all agree. A cell's rate is its raked weight over its mass, scaled so that no rate is above one; a document is drawn with its cell's rate by
 a hash of its key and text, so the draw is the same on every run and does not depend on partitioning.
 
+Cells without documents can make margins contradict each other. Given targets that cannot be met together are refused with the margins they
+miss; tempered shares, which no one asked for in particular, end ``ROUNDS`` rounds as they are, with a warning. ``gap`` says by how much.
+
 Targets are given, or tempered: a category's share to the power ``temper``. The cells are at most the product of the categories; above
 ``MAX_CELLS`` the operator refuses instead of passing a large table through the driver.
 
@@ -14,6 +17,8 @@ through, whatever their names.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +28,8 @@ from welltide.llm.common import packed, table
 
 MAX_CELLS = 200_000
 ROUNDS = 50
+#: Rounds for given targets, and the share of the mixture by which a margin may miss them (of tempered ones: without a warning).
+GIVEN_ROUNDS, TOLERANCE = 1000, 0.001
 SALT = "mix-1"
 
 #: What a text's content shows, first match first: label, strings of which one must occur.
@@ -54,8 +61,13 @@ def rake(mass: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], rounds:
     return w
 
 
+def margin_gaps(w: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """For each margin, the share of the mixture that lies in other categories than the targets want."""
+    return [float(np.abs(np.bincount(code, weights=w, minlength=len(share)) - share).sum() / 2) for code, share in margins]
+
+
 def cell_rates(cells: pd.DataFrame, columns: list[str], targets: dict[str, dict | None], temper: float, rounds: int = ROUNDS) -> pd.DataFrame:
-    """The cells with their raked share ``weight`` and sampling ``rate`` (at most one)."""
+    """The cells with their raked share ``weight``, sampling ``rate`` (at most one) and the largest ``gap`` of a margin to its targets."""
     cells = cells.sort_values(columns, ignore_index=True, na_position="first")
     mass, margins = cells["mass"].to_numpy(dtype=float), []
     for c in columns:
@@ -66,9 +78,18 @@ def cell_rates(cells: pd.DataFrame, columns: list[str], targets: dict[str, dict
         if share.sum() <= 0:
             raise ValueError(f"no target of {c} has rows")
         margins.append((code, share / share.sum()))
-    w = rake(mass, margins, rounds)
+    w, given = rake(mass, margins, rounds), any(targets.get(c) is not None for c in columns)
+    done = rounds
+    while given and done < GIVEN_ROUNDS and w.sum() > 0 and max(margin_gaps(w, margins)) > TOLERANCE:
+        w, done = rake(w, margins, rounds), done + rounds
+    gaps = margin_gaps(w, margins)
+    if max(gaps) > TOLERANCE:
+        missed = ", ".join(f"{c} by {g:.4f}" for c, g in zip(columns, gaps, strict=True))
+        if given:
+            raise ValueError(f"the targets cannot be met together by the cells that have documents; missed: {missed}")
+        warnings.warn(f"tempered shares are not all met: {missed}", stacklevel=2)
     rate = w / mass
-    return cells.assign(weight=w, rate=rate / rate.max())
+    return cells.assign(weight=w, rate=rate / rate.max(), gap=max(gaps))
 
 
 def with_rates(docs: DataFrame, source: str = "source", lang: str = "lang", topic: Column | None = None, tokens: Column | None = None,
