@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from welltide.functions import hydraulics as H
 from welltide.functions import rock as R
+from welltide.operators import lineage
 from welltide.operators import profiles as D
 from welltide.operators import projections as P
 from welltide.operators import stats as S
@@ -426,11 +427,33 @@ RESULT_SQL = f"""{W}, {LAST_SQL}, r1 AS (SELECT *, 480.0::DOUBLE * torque * rpm
   unnest([3, 2, 3, 4, 3, 5, 1, 1, 4, 3, 4, 7]) AS n_inputs FROM r2)"""
 
 
-@query("results_with_provenance", f"{RESULT_SQL} SELECT well_id, result, value, n_inputs FROM rx", dbl="value:6", whole="n_inputs")
-def q_results(spark, sf):
-    """All twelve results at each well's latest sample."""
+def latest_results(spark, sf):
+    """The twelve results at each well's latest sample, with their inputs."""
     last = D.latest_by_well(drill_wide(spark, sf), ["mud_weight", "spp", "depth_tvd", "choke_pressure", "flow_in", "wob", "torque", "rpm", "rop"])
     fixed = {"hole": 8.75, "pipe": 5.0, "bit": 8.75, "d_normal": 1.2, "overburden": 19.2, "k": 100.0, "kd": 40.0, "rd": 3.0, "rw": 0.36, "h": 50.0, "bo": 1.2, "mu": 0.8, "re": 1490.0}
     d = last.select("well_id", c("mud_weight").alias("mw"), (c("spp") * 0.3).alias("afp"), c("depth_tvd").alias("tvd"), c("choke_pressure").alias("sbp"), c("flow_in").alias("q"), (c("wob") * 1000.0).alias("wob"),
                     "torque", "rpm", "rop", *[F.lit(v).alias(n) for n, v in fixed.items()])
-    return D.named_results(d, ["well_id"]).select("well_id", "result", "value", F.size("inputs").alias("n_inputs"))
+    return D.named_results(d, ["well_id"])
+
+
+@query("results_with_provenance", f"{RESULT_SQL} SELECT well_id, result, value, n_inputs FROM rx", dbl="value:6", whole="n_inputs")
+def q_results(spark, sf):
+    """All twelve results at each well's latest sample."""
+    return latest_results(spark, sf).select("well_id", "result", "value", F.size("inputs").alias("n_inputs"))
+
+
+# The recorded channel that each measured or modelled input is taken from.
+FEEDS = [("mw", "mud_weight"), ("afp", "spp"), ("tvd", "depth_tvd"), ("sbp", "choke_pressure"), ("q", "flow_in"), ("wob", "wob"), ("torque", "torque"), ("rpm", "rpm"), ("rop", "rop")]
+_FED = [x for _, x in FEEDS]
+LINEAGE_SQL = f"""WITH RECURSIVE {WIDE_SQL}, k AS (SELECT well_id, unnest({_FED}) AS ch, unnest([{", ".join(f"count({x})" for x in _FED)}]) AS n_samples, unnest([{", ".join(f"max(CASE WHEN {x} IS NOT NULL THEN pos END)" for x in _FED)}]) AS last_pos FROM wide GROUP BY well_id),
+ m(node, parent, kind) AS (VALUES {", ".join(f"('{r}', '{n}', '{p}')" for r, _, _, inputs in D.METHODS for n, _, p in inputs)}),
+ f(node, ch) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in FEEDS)}),
+ e AS (SELECT well_id, node, parent, kind FROM (SELECT DISTINCT well_id FROM wide), m UNION ALL SELECT well_id, node, 'channel:' || ch, 'recorded' FROM f JOIN k USING (ch) WHERE n_samples > 0),
+ t AS (SELECT well_id, node AS result, parent AS ancestor, kind, 1 AS steps FROM e WHERE node IN (SELECT node FROM m) UNION SELECT t.well_id, result, e.parent, e.kind, steps + 1 FROM t JOIN e ON e.well_id = t.well_id AND e.node = t.ancestor)
+ SELECT t.well_id, result, ancestor, min(kind) AS kind, min(steps) AS steps, any_value(n_samples) AS n_samples, any_value(last_pos) AS last_pos FROM t LEFT JOIN k ON k.well_id = t.well_id AND 'channel:' || k.ch = t.ancestor GROUP BY 1, 2, 3"""
+
+
+@query("result_lineage", LINEAGE_SQL, whole="steps n_samples last_pos")
+def q_lineage(spark, sf):
+    """What each well's results rest on, down to the recorded channels with their coverage."""
+    return lineage.result_lineage(latest_results(spark, sf), drill_wide(spark, sf), FEEDS)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from welltide.operators.stats import channel_stats
-from welltide.plans.h_sources import folder
+from welltide.plans.h_sources import RIG_SQL, TIME_SQL, chosen_pairs, depth_tables, folder, time_table
 from welltide.plans.registry import query
 from welltide.session import scratch_path
+from welltide.sources import dumps
 from welltide.sources.tables import MEAS_SQL, measurements
 from welltide.streaming import live
 
@@ -99,3 +100,30 @@ def q_state_sessions(spark, sf):
     d = live.read_landing(spark, landing(spark, sf)).where("value is not null")
     d = d.withColumn("state", F.when(c("value") >= 40, "high").otherwise("low"))
     return run(spark, sf, "state-sessions", live.sessions(d, "12 hours", ("well_id", "wits_id", "state")))
+
+
+MERGE_DAYS = 120
+
+
+def companion_landing(spark, sf):
+    """Folders of depth and time samples of the chosen dumps; time samples land in slots of their time, one slot after the other, those without a time first."""
+    def write(p):
+        chosen = chosen_pairs(spark, sf)
+        dumps.of_pairs(depth_tables(spark, sf)[1], chosen, "depth").select("ip", "wits_id", "ts", "depth", "value").write.parquet(f"{p}/depth")
+        t = dumps.of_pairs(time_table(spark, sf), chosen, "time").select("ip", "wits_id", "ts", "value", "pos")
+        t = t.withColumn("slot", F.floor(F.unix_date(F.to_date("ts")) / F.lit(MERGE_DAYS)))
+        for slot in [r.slot for r in t.select("slot").distinct().orderBy(c("slot").asc_nulls_first()).collect()]:  # a few per year
+            t.where(c("slot").eqNullSafe(F.lit(slot))).drop("slot").write.mode("append").parquet(f"{p}/time")
+    return folder(spark, sf, "companion-landing", write)
+
+
+@query("stream_companion_merge", f"""WITH {RIG_SQL}, {TIME_SQL}, dl AS (SELECT ip, ts, max_by(value, r) AS depth FROM ts WHERE wits_id = '0108' GROUP BY 1, 2),
+ u AS (SELECT ip, wits_id, ts, depth, value, 'depth' AS origin FROM rs UNION ALL SELECT t.ip, t.wits_id, t.ts, a.depth, t.value, 'time' FROM ts t LEFT JOIN dl a ON a.ip = t.ip AND a.ts = t.ts WHERE t.ts <= (SELECT max(ts) FROM ts) - INTERVAL {MERGE_DAYS} DAY)
+ SELECT ip, wits_id, origin, count(*) AS n, count(depth) AS n_depths, avg(depth) AS mean_depth, avg(value) AS mean_value FROM u GROUP BY 1, 2, 3""", dbl="mean_depth:2 mean_value:2")
+def q_companion(spark, sf):
+    """The companion merge of two live streams, up to the watermark: depth and time samples of every recorder."""
+    base = companion_landing(spark, sf)
+    read = lambda kind, columns: spark.readStream.schema(columns).option("maxFilesPerTrigger", 4 * spark.sparkContext.defaultParallelism).parquet(f"{base}/{kind}")
+    time = read("time", "ip string, wits_id string, ts timestamp, value double, pos long").withWatermark("ts", f"{MERGE_DAYS} days")
+    out = run(spark, sf, "companion", live.companion_rows(read("depth", "ip string, wits_id string, ts timestamp, depth double, value double"), time))
+    return out.groupBy("ip", "wits_id", "origin").agg(F.count(F.lit(1)).alias("n"), F.count("depth").alias("n_depths"), F.avg("depth").alias("mean_depth"), F.avg("value").alias("mean_value"))

@@ -144,6 +144,23 @@ def held_flags_in_order(samples: DataFrame, threshold: float, n: int, before: Da
         None if before is None else before.groupBy("well_id", "wits_id"))
 
 
+def companion_rows(depth: DataFrame, time: DataFrame, depth_wits: str = "0108") -> DataFrame:
+    """The batch job's companion merge on two streams: depth samples as they land, time samples with the hole depth of their instant.
+
+    ``time`` (ip, wits_id, ts, value, pos) has a watermark. The last hole depth written at an instant is settled, and joined to the samples of
+    that instant (none: no depth), once the watermark has passed it; then the state of the instant goes. A stream-stream join on (ip, ts) holds what
+    the watermark's delay spans, and one recorder's samples spread over the partitions by instant. Samples without a time come out with no depth
+    at once. ``depth`` (ip, wits_id, ts, depth, value) passes through without a watermark of its own, so it holds nothing back.
+    """
+    at = time.where((c("wits_id") == depth_wits) & c("ts").isNotNull()).groupBy("ip", "ts").agg(F.max_by("value", "pos").alias("depth")) \
+        .select(c("ip").alias("_ip"), c("ts").alias("_ts"), "depth")
+    timed = time.where("ts is not null").join(at, (c("ip") == c("_ip")) & (c("ts") == c("_ts")), "left")
+    own = ["ip", "wits_id", "ts", "depth", "value"]
+    loose = time.where("ts is null").withColumn("depth", F.lit(None).cast("double"))
+    late = timed.select(*own).unionByName(loose.select(*own)).withColumn("origin", F.lit("time"))
+    return late.unionByName(depth.select(*own).withColumn("origin", F.lit("depth")))
+
+
 def rocks(spark: SparkSession) -> None:
     """Keep the state of queries started from now on in RocksDB, on disk, which state of several kinds needs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
