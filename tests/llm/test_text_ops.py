@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -78,6 +79,19 @@ def test_patricia_trie(items):
     assert list(trie.take()) == []
 
 
+def test_what_a_trie_counts_covers_its_memory():
+    for n, width in ((30_000, 0), (30_000, 8), (2_000, 5000)):  # many short texts, and fewer long ones
+        tracemalloc.start()
+        trie = exact.PatriciaTrie()
+        for i in range(n):
+            body = f"{i:06d}".encode() + b"x" * width
+            digest = hashlib.sha256(body).hexdigest()
+            trie.insert(exact._head(len(body), int(digest[:16], 16)) + body, i, 1, digest)
+        used = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert 0.8 * used < trie.held < 2.5 * used, (n, width, used, trie.held)
+
+
 @pytest.fixture(scope="module")
 def enc():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from welltide.llm.common import WS_CLASS, packed, table
 
-#: Bytes of edge labels a trie may hold before its finished subtrees are given out.
+#: Bytes a trie may hold before its finished subtrees are given out.
 TRIE_BYTES = 48 << 20
+#: Bytes counted for a node beside its label: the objects of node, children, label and identifier; and for a terminal node's digest.
+NODE_BYTES, DIGEST_BYTES = 400, 120
 _HEAD = 12  # bytes of length and hash in front of each key
 
 
@@ -34,7 +36,7 @@ class _Node:
 
 
 class PatriciaTrie:
-    """Byte strings in a compressed radix trie; ``held`` counts the bytes of its edge labels."""
+    """Byte strings in a compressed radix trie; ``held`` counts the bytes of its edge labels, nodes and digests."""
 
     def __init__(self):
         self.root, self.held = _Node(b""), 0
@@ -46,7 +48,7 @@ class PatriciaTrie:
             if kid is None:
                 kid = _Node(key[at:])
                 node.kids[key[at]] = kid
-                self.held += len(kid.label)
+                self.held += len(kid.label) + NODE_BYTES
                 node, at = kid, len(key)
                 break
             label = kid.label
@@ -64,9 +66,12 @@ class PatriciaTrie:
             kid.label = label[low:]
             top.kids[kid.label[0]] = kid
             node.kids[key[at]] = top
+            self.held += NODE_BYTES
             node, at = top, at + low
         if identifier is not None and (node.least is None or identifier < node.least):
             node.least = identifier
+        if not node.count:
+            self.held += DIGEST_BYTES
         node.count, node.digest = node.count + count, digest
 
     def take(self) -> Iterator[tuple[bytes, int | None, int, str]]:
