@@ -248,3 +248,45 @@ def test_constant_channel_has_no_correlation(spark):
     d = spark.createDataFrame([(1, float(i), 5.0, -2.0 * i) for i in range(40)], "k int, a double, b double, c double")
     got = {(r.channel_a, r.channel_b): r.r for r in J.pair_correlations(d, ["k"], ["a", "b", "c"]).collect()}
     assert got[("a", "b")] is None and got[("b", "c")] is None and close(got[("a", "c")], -1.0)
+
+
+def test_no_frame_is_computed_anew_for_every_row(spark):
+    df, _ = frame(spark, {1: 50})
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString().lower()
+    assert "unboundedfollowing" not in plan(carry(df, ["well_id"], following={"f": c("v")}, size=7))
+    assert "unboundedfollowing" not in plan(J.neighbours(df, ["well_id"], F.floor(c("pos") / 7), ["pos"], ["v"]))
+
+
+@pytest.mark.parametrize("width", [3.0, 1000.0])
+def test_even_grid_equals_resampling_onto_its_points(spark, width):
+    rnd = random.Random(5)
+    xs = sorted(rnd.sample(range(0, 4000), 40))
+    data = [(1, x / 8, rnd.random()) for x in xs] + [(2, 30.0, 1.0), (3, 31.5, 2.0), (4, 20.0, 1.0), (4, 55.5, 3.0)]
+    s = spark.createDataFrame(data, "well_id int, x double, v double")
+    lim = s.groupBy("well_id").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    grid = lim.select("well_id", F.explode(F.sequence(F.floor(c("a") / 10), F.ceil(c("b") / 10))).alias("k")).select("well_id", (c("k") * 10.0).alias("x"))
+    b = F.floor(c("x") / width)
+    want = rows(J.resample(grid, s, ["well_id"], "x", "v", b), "well_id", "x", "v")
+    got = J.resample_evenly(s, ["well_id"], "x", "v", 10.0, b)
+    assert [(r[0], r[1]) for r in rows(got, "well_id", "x", "v")] == [(r[0], r[1]) for r in want]
+    assert all(close(a[2], e[2]) for a, e in zip(rows(got, "well_id", "x", "v"), want))
+    # The points are made where their samples are, after the last exchange.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_responses_do_not_depend_on_chunks_and_shuffle_no_sample_twice(spark):
+    rnd = random.Random(8)
+    data = [(w, p, 5000.0 + p, float(rnd.random() + (p // 70) % 2), rnd.choice([None, 1.0, 4.0, 9.0]) if p % 3 else 2.0) for w in (1, 2) for p in range(400)]
+    wide = spark.createDataFrame(data, "well_id int, pos long, depth_md double, a double, b double")
+    moves = spark.createDataFrame([(w, p, "x", "y") for w in (1, 2) for p in (20, 70, 140, 141, 210, 349, 350, 390)], "well_id int, pos long, from_state string, to_state string")
+    names = ["well_id", "at_pos", "channel", "peak", "settle_ft", "settle_samples", "shape"]
+    whole = K.transition_responses(moves, wide, ["a", "b"])
+    want = rows(whole, *names)
+    assert {r[1] for r in want} == {70, 140, 141, 210, 349} and {r[2] for r in want} == {"a", "b"}
+    assert rows(K.transition_responses(moves, wide, ["a", "b"], size=60), *names) == want
+    # By hand: one channel at one transition.
+    v = {p: a for w, p, _, a, _ in data if w == 1}
+    pre = sum(v[p] for p in range(20, 70)) / 50
+    got = next(r for r in want if r[:3] == (1, 70, "a"))
+    assert close(got[3], max(abs(v[p] - pre) for p in range(70, 120)))
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1   # the number of samples per well
