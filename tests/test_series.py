@@ -290,3 +290,28 @@ def test_responses_do_not_depend_on_chunks_and_shuffle_no_sample_twice(spark):
     got = next(r for r in want if r[:3] == (1, 70, "a"))
     assert close(got[3], max(abs(v[p] - pre) for p in range(70, 120)))
     assert whole._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1   # the number of samples per well
+
+
+def test_patterns_of_whole_groups_equal_those_of_chunks(spark):
+    rnd = random.Random(4)
+    base = [rnd.random() for _ in range(130)]
+    data = [(1, "s", i, base[i + 7], base[i], (2.0 if base[i] > 0.5 else 0.0) + base[i] / 100, rnd.choice([None, base[i], base[i]])) for i in range(120)]
+    chans = ["a", "b", "d", "e"]
+    r = spark.createDataFrame(data, "well_id int, state string, rn long, a double, b double, d double, e double")
+    asked = spark.createDataFrame([(1, "s", x, y) for x, y in (("a", "b"), ("b", "d"), ("b", "e"))], "well_id int, state string, channel_a string, channel_b string")
+    names = ["channel_a", "channel_b", "is_threshold", "lag"]
+    key = lambda d: sorted(map(str, d.select(*names).collect()))
+    whole, parts = key(K.patterns(r, asked, chans)), key(K.patterns(r, asked, chans, size=128, small=0))
+    assert whole == parts
+    assert "lag=7" in whole[0] or "lag=-7" in whole[0]
+
+
+def test_small_groups_interpolate_like_large_ones(spark):
+    lo = 0.1
+    vals = [(1, i, x) for i, x in enumerate([lo, float(np.nextafter(lo, 1)), 0.3, 0.7, 0.9, 1.1])]
+    d = spark.createDataFrame(vals, "k int, pos long, v double")
+    for p in (0.05, 0.15, 0.25, 0.5, 0.73):
+        got = exact_percentiles(d, ["k"], c("v"), {"q": p}).collect()[0]["q"]
+        at = p * 5
+        a, b = vals[int(at)][2], vals[int(np.ceil(at))][2]
+        assert got == a + (b - a) * (at - int(at))
