@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from welltide.operators import knowledge as K
 from welltide.operators import segment as G
-from welltide.operators.series import CHUNK
+from welltide.operators.series import CHUNK, chunk_of
 from welltide.operators.stats import channel_stats
 from welltide.session import stage
 
@@ -22,7 +22,9 @@ def scan(wide: DataFrame, channels: Sequence[str], min_samples: int = 30, depth:
     The states and the rows with their state are written to the shared folder, as every later stage reads them.
     """
     states = stage(G.detect_states(wide, min_samples, size, keep=[depth]), "scan-states")
-    rows = stage(wide.select("well_id", "pos", *channels).join(states.select("well_id", "pos", "state"), ["well_id", "pos"]), "scan-rows")
+    # Rows of a (well, chunk) side by side, so that tasks sum up whole groups before they shuffle.
+    rows = wide.select("well_id", "pos", *channels).join(states.select("well_id", "pos", "state"), ["well_id", "pos"])
+    rows = stage(rows.repartition("well_id", chunk_of("pos", size)).sortWithinPartitions("well_id", "state", "pos"), "scan-rows")
     long = lambda d, keep: d.select("well_id", "pos", *keep, *channels).unpivot(["well_id", "pos", *keep], list(channels), "channel", "v")
     moves = G.transitions(states, depth, size)
     return {
