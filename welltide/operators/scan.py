@@ -31,7 +31,7 @@ def scan(wide: DataFrame, channels: Sequence[str], min_samples: int = 30, depth:
         "census": channel_stats(long(wide, []), ["well_id", "channel"], "v"),
         "states": states,
         "timeline": G.timeline(states, depth, size),
-        "profiles": K.state_profiles(long(rows, ["state"]), size),
+        "profiles": K.profiles_in_states(rows, channels, size),
         "relationships": K.relationships(rows, channels, size=size),
         "transitions": moves,
         "responses": K.transition_responses(moves, wide, channels, depth),
