@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from welltide.operators.alerts import in_intervals
 from welltide.operators.series import CHUNK, attach
+from welltide.session import stage
 from welltide.sources import dims
 
 c = F.col
@@ -42,10 +43,12 @@ def fibers(wide: DataFrame, channels: Sequence[str], n_bins: int, keys: Sequence
            limits: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
     """Normalised channel means of equal-width depth bins; a missing channel is 0.5, empty bins are left out.
 
-    ``limits`` (keys, lo, hi, n) may be given for keys finer than the well.
+    ``limits`` (keys, lo, hi, n) may be given for keys finer than the well, or stand in the rows.
     """
     keys = list(keys)
-    if limits is None:
+    if {"lo", "hi", "n"} <= set(wide.columns):
+        d = wide.select(*keys, "pos", c(depth).alias("_d"), *channels, "lo", "hi", "n")
+    elif limits is None:
         lim = wide.groupBy(*keys).agg(F.min(depth).alias("lo"), F.max(depth).alias("hi"), F.count(F.lit(1)).alias("n"), F.max("pos").alias("last_pos"))
         d = attach(wide.select(*keys, "pos", c(depth).alias("_d"), *channels), lim, keys, size=size)
     else:
@@ -130,10 +133,8 @@ def classify_anomalies(anom: DataFrame, res: DataFrame, wide: DataFrame, depth:
 
 # --- windows along depth -------------------------------------------------------------------------------
 
-def window_rows(wide: DataFrame, window_ft: float = 500.0, stride_ft: float = 100.0, depth: str = "depth_md", size: int = CHUNK) -> DataFrame:
-    """Samples repeated once per overlapping depth window they fall in (window_ft / stride_ft + 1 at most)."""
-    lim = wide.groupBy("well_id").agg(F.min(depth).alias("_a"), F.max(depth).alias("_b"), F.max("pos").alias("last_pos"))
-    d = attach(wide, lim, ["well_id"], size=size)
+def _in_windows(d: DataFrame, window_ft: float, stride_ft: float, depth: str) -> DataFrame:
+    """Samples with their well's depth range (_a, _b), repeated once per overlapping window they fall in, with its ends."""
     short = c("_b") - c("_a") < window_ft
     n = F.floor((c("_b") + stride_ft * 0.5 - window_ft - c("_a")) / stride_ft)
     lo = F.greatest(F.lit(0), F.ceil((c(depth) - window_ft - c("_a")) / stride_ft))
@@ -142,17 +143,35 @@ def window_rows(wide: DataFrame, window_ft: float = 500.0, stride_ft: float = 10
     ids = F.when(short, one).when(hi >= lo, F.sequence(lo.cast("long"), hi.cast("long")))
     d = d.withColumn("window", F.explode(ids))
     top = c("_a") + c("window") * stride_ft
-    return d.withColumns({"w_top": F.when(short, c("_a")).otherwise(top), "w_bottom": F.when(short, c("_b")).otherwise(F.least(top + window_ft, c("_b")))}) \
-        .drop("_a", "_b")
+    return d.withColumns({"w_top": F.when(short, c("_a")).otherwise(top), "w_bottom": F.when(short, c("_b")).otherwise(F.least(top + window_ft, c("_b")))})
+
+
+def window_rows(wide: DataFrame, window_ft: float = 500.0, stride_ft: float = 100.0, depth: str = "depth_md", size: int = CHUNK) -> DataFrame:
+    """Samples repeated once per overlapping depth window they fall in (window_ft / stride_ft + 1 at most)."""
+    lim = wide.groupBy("well_id").agg(F.min(depth).alias("_a"), F.max(depth).alias("_b"), F.max("pos").alias("last_pos"))
+    return _in_windows(attach(wide, lim, ["well_id"], size=size), window_ft, stride_ft, depth).drop("_a", "_b")
 
 
-def window_coherence(wide: DataFrame, channels: Sequence[str], n_bins: int = 20, mud_weight: float = 10.0, depth: str = "depth_md") -> DataFrame:
-    """Residual coherence exp(-mean r^2) and the most violated rule per window with at least ten values."""
+def window_coherence(wide: DataFrame, channels: Sequence[str], n_bins: int = 20, mud_weight: float = 10.0, depth: str = "depth_md",
+                     window_ft: float = 500.0, stride_ft: float = 100.0, size: int = CHUNK) -> DataFrame:
+    """Residual coherence exp(-mean r^2) and the most violated rule per window with at least ten values.
+
+    The limits of a well's windows (one per ``stride_ft``) reach its samples as one map by (well, chunk), and samples are
+    repeated for their windows only where they are summed up, so no sample is shuffled once per window.
+    """
     keys = ["well_id", "window"]
-    rows = window_rows(wide.select("well_id", "pos", depth, *channels), depth=depth)
-    lim = rows.groupBy(*keys).agg(F.min(depth).alias("lo"), F.max(depth).alias("hi"), F.count(F.lit(1)).alias("n"),
-                                  F.first("w_top").alias("w_top"), F.first("w_bottom").alias("w_bottom")).where(c("n") * len(channels) >= 10)
-    fib = fibers(rows, channels, n_bins, keys, depth, lim.select(*keys, "lo", "hi", "n"))
+    rows = wide.select("well_id", "pos", depth, *channels)
+    wells = stage(rows.groupBy("well_id").agg(F.min(depth).alias("_a"), F.max(depth).alias("_b"), F.max("pos").alias("last_pos")), "well-depths")
+    # Rows of a (well, chunk) lie side by side after a hash join, so tasks sum up whole bins before they shuffle.
+    near = attach(rows.select("well_id", "pos", depth), wells.hint("shuffle_hash"), ["well_id"], size=size)
+    lim = _in_windows(near, window_ft, stride_ft, depth).groupBy(*keys).agg(
+        F.min(depth).alias("lo"), F.max(depth).alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.first("w_top").alias("w_top"), F.first("w_bottom").alias("w_bottom")).where(c("n") * len(channels) >= 10)
+    lim = stage(lim, "windows")
+    listed = lim.groupBy("well_id").agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("lo", "hi", "n")))).alias("_ws"))
+    each = _in_windows(attach(rows, listed.join(wells, "well_id").hint("shuffle_hash"), ["well_id"], size=size, how="inner"), window_ft, stride_ft, depth)
+    each = each.withColumn("_l", c("_ws")[c("window")]).where("_l is not null").select(*keys, "pos", depth, *channels, "_l.*")
+    fib = fibers(each, channels, n_bins, keys, depth)
     res = residuals(fib, channels, keys, mud_weight)
     g = res.groupBy(*keys).agg(F.exp(-F.avg(c("r_composite") * c("r_composite"))).alias("coherence"), *[F.sum(f"r_{r}").alias(f"_t_{r}") for r in RULES],
                                (F.count(F.lit(1)) + 1).alias("n_bins"))
