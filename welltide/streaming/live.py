@@ -84,63 +84,59 @@ def held_flags(samples: DataFrame, threshold: float, n: int, idle: str = "365 da
 
 
 class HeldFlag(StatefulProcessor):
-    """Held flag of one (well, channel) over samples that come in any order within the watermark's delay.
+    """Held flag of one (well, channel) over buckets of event time that come once they are complete, those of one watermark in any order.
 
-    Samples wait in buckets of event time, in a map of packed rows. A timer at a bucket's end hands the bucket on once the watermark has passed
-    it, when nothing can be added to it any more, so memory holds one bucket of one key. The flag goes ``idle_ms`` after the last bucket.
+    ``last`` is the end of the last bucket (0: none yet). A bucket that ends more than ``idle_ms`` after it begins anew; the flag goes once the
+    watermark has passed that. State is read and written once for all buckets of a key, as each access is a call from Python.
     """
 
-    ROW = np.dtype([("at", "<i8"), ("value", "<f8")])
-
-    def __init__(self, threshold: float, n: int, bucket_ms: int, idle_ms: int):
-        self.threshold, self.n, self.bucket_ms, self.idle_ms = threshold, n, bucket_ms, -(-idle_ms // bucket_ms) * bucket_ms
+    def __init__(self, threshold: float, n: int, idle_ms: int):
+        self.threshold, self.n, self.idle_ms = threshold, n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flag = handle.getValueState("flag", "held boolean, run int, last long")
-        self.waiting = handle.getMapState("waiting", "bucket long", "samples binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for r in initialState.itertuples():
             self.flag.update((bool(r.held), int(r.run), 0))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for f in rows:
-            new = np.empty(len(f), dtype=self.ROW)
-            new["at"], new["value"] = f["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), f["value"].to_numpy()
-            bucket = new["at"] // (1000 * self.bucket_ms)
-            for b in np.unique(bucket).tolist():
-                held = bytes(self.waiting.getValue((b,))[0]) if self.waiting.containsKey((b,)) else b""
-                self.waiting.updateValue((b,), (held + new[bucket == b].tobytes(),))
-                if not held:
-                    self.handle.registerTimer((b + 1) * self.bucket_ms)
-        return iter([])
+        f = pd.concat(list(rows)).sort_values("end", kind="stable")
+        held, run, last = self.flag.get() or (None, 0, 0)
+        at, values, flags = f["at"].tolist(), f["value"].tolist(), []
+        for end, v in zip(f["end"].tolist(), values, strict=True):
+            if last and end > last + self.idle_ms:
+                held, run = None, 0
+            out, held, run = flip_after(np.asarray(v) >= self.threshold, held, run, self.n)
+            flags.append(out)
+            last = end
+        self.flag.update((held, run, last))
+        self.handle.registerTimer(last + self.idle_ms)
+        yield pd.DataFrame({"well_id": key[0], "wits_id": key[1], "ts": np.concatenate(at).astype("datetime64[us]"),
+                            "value": np.concatenate(values), "held": np.concatenate(flags)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        b = end // self.bucket_ms - 1
-        held, run, last = self.flag.get() if self.flag.exists() else (None, 0, 0)
-        if not self.waiting.containsKey((b,)):
-            if last + self.idle_ms == end:
-                self.flag.clear()
-            return
-        rows = np.sort(np.frombuffer(bytes(self.waiting.getValue((b,))[0]), dtype=self.ROW), order=["at", "value"])
-        self.waiting.removeKey((b,))
-        flags, held, run = flip_after(rows["value"] >= self.threshold, held, run, self.n)
-        self.flag.update((held, run, end))
-        self.handle.registerTimer(end + self.idle_ms)
-        yield pd.DataFrame({"well_id": key[0], "wits_id": key[1], "ts": rows["at"].astype("datetime64[us]"), "value": rows["value"], "held": flags})
+        flag = self.flag.get()
+        if flag and flag[2] + self.idle_ms == expiredTimerInfo.getExpiryTimeInMs():
+            self.flag.clear()
+        return iter([])
 
 
 def held_flags_in_order(samples: DataFrame, threshold: float, n: int, before: DataFrame | None = None, bucket: str = "1 hour", idle: str = "365 days") -> DataFrame:
     """The batch job's hysteresis on samples that land out of order: equal to it for every sample the watermark lets in.
 
-    A flag comes out once the watermark has passed its bucket of event time; samples of one instant count in order of value. ``before``
-    (well_id, wits_id, held, run) goes on from what a batch job ended with. The query needs the RocksDB state store (``rocks``).
+    Samples wait in buckets of event time, one row of a windowed aggregation per (well, channel, bucket), which come out once the watermark has
+    passed them; then each key's flag goes on over its buckets. Samples of one instant count in order of value. Memory holds what one key hands
+    on between two watermarks. ``before`` (well_id, wits_id, held, run) goes on from what a batch job ended with. The query needs the RocksDB
+    state store (``rocks``).
     """
-    ms = lambda t: int(pd.Timedelta(t).total_seconds() * 1000)
-    return samples.where("value is not null").groupBy("well_id", "wits_id").transformWithStateInPandas(
-        HeldFlag(threshold, n, ms(bucket), ms(idle)), "well_id string, wits_id string, ts timestamp, value double, held boolean", "Append", "EventTime",
+    width, rest = (int(pd.Timedelta(t).total_seconds() * 1000) for t in (bucket, idle))
+    d = samples.where("value is not null").groupBy("well_id", "wits_id", F.window("ts", bucket).alias("w")).agg(
+        F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("at"), "value"))).alias("s"))
+    d = d.select("well_id", "wits_id", F.unix_millis("w.end").alias("end"), c("s.at").alias("at"), c("s.value").alias("value"))
+    return d.groupBy("well_id", "wits_id").transformWithStateInPandas(
+        HeldFlag(threshold, n, -(-rest // width) * width), "well_id string, wits_id string, ts timestamp, value double, held boolean", "Append", "EventTime",
         None if before is None else before.groupBy("well_id", "wits_id"))
 
 
