@@ -53,23 +53,26 @@ def friction_below(sections: Column, md: Column, pv, yp, q) -> Column:
         pv, yp, F.greatest(F.lit(0.0), s["md_bottom"] - F.greatest(s["md_top"], md)), q, s["hole_id"], s["pipe_od"]))
 
 
+def _holding(sections: Column, md: Column) -> Column:
+    return F.filter(sections, lambda s: md.between(s["md_top"], s["md_bottom"]))
+
+
 def section_at(sections: Column, md: Column) -> Column:
     """First section holding ``md``, both ends included; null outside."""
-    return F.get(F.filter(sections, lambda s: md.between(s["md_top"], s["md_bottom"])), 0)
+    return F.get(_holding(sections, md), 0)
 
 
 def tvd_at(sections: Column, md: Column) -> Column:
-    s = section_at(sections, md)
-    return s["tvd_top"] + (md - s["md_top"]) / (s["md_bottom"] - s["md_top"]) * (s["tvd_bottom"] - s["tvd_top"])
+    # The section is named once; each field taken from ``section_at`` would search for it anew.
+    return F.get(F.transform(_holding(sections, md), lambda s: s["tvd_top"] + (md - s["md_top"]) / (s["md_bottom"] - s["md_top"]) * (s["tvd_bottom"] - s["tvd_top"])), 0)
 
 
 def interpolate_points(points: Column, x: Column, field: str) -> Column:
     """Piecewise-linear value on control points sorted by ``tvd``, constant beyond the ends."""
     first, last = F.get(points, 0), F.element_at(points, -1)
-    pair = F.get(F.filter(F.transform(points, lambda p, i: F.struct(p.alias("a"), F.get(points, i + 1).alias("b"))),
-                          lambda ab: x.between(ab["a"]["tvd"], ab["b"]["tvd"])), 0)
-    a, b = pair["a"], pair["b"]
-    mid = a[field] + (x - a["tvd"]) / (b["tvd"] - a["tvd"]) * (b[field] - a[field])
+    pairs = F.filter(F.transform(points, lambda p, i: F.struct(p.alias("a"), F.get(points, i + 1).alias("b"))),
+                     lambda ab: x.between(ab["a"]["tvd"], ab["b"]["tvd"]))
+    mid = F.get(F.transform(pairs, lambda ab: ab["a"][field] + (x - ab["a"]["tvd"]) / (ab["b"]["tvd"] - ab["a"]["tvd"]) * (ab["b"][field] - ab["a"][field])), 0)
     return F.when(x <= first["tvd"], first[field]).when(x >= last["tvd"], last[field]).otherwise(mid)
 
 

@@ -23,11 +23,15 @@ def well_design(sections: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def stations(design: DataFrame, n: int = 50) -> DataFrame:
+    """``n`` depths per well from surface to TD. They come out of the generator, so no filter on ``tvd`` or on what follows
+    from it puts the search for the section in place of the column. Designs are small, their stations are not, so they are
+    dealt to all cores by number and not by size."""
     n = max(n, 2)
+    design = design.repartition(2 * design.sparkSession.sparkContext.defaultParallelism, "well_id")
     td = F.array_max(F.transform("sections", lambda s: s["md_bottom"]))
-    return (design.withColumn("td", td).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-            .withColumn("md", F.least(F.col("i") * (F.col("td") / F.lit(float(n - 1))), F.col("td")))
-            .withColumn("tvd", H.tvd_at(F.col("sections"), F.col("md"))).where("tvd is not null"))
+    md = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.least(i * (F.col("td") / F.lit(float(n - 1))), F.col("td")).alias("md")))
+    at = F.transform(md, lambda m: F.struct(m["i"].alias("i"), m["md"].alias("md"), H.tvd_at(F.col("sections"), m["md"]).alias("tvd")))
+    return design.withColumn("td", td).select("*", F.inline(at)).where("tvd is not null")
 
 
 def pressure_profile(design: DataFrame, mw: float, pv: float, yp: float, q: float, sbp: float, n: int = 50) -> DataFrame:
