@@ -10,7 +10,7 @@ from welltide.operators.quantiles import exact_percentiles
 from welltide.operators.series import dense_positions
 from welltide.plans.registry import query
 from welltide.sources import dims
-from welltide.sources.tables import MEAS_SQL, WIDE_SQL, drill_wide, measurements, table
+from welltide.sources.tables import EVENT_CHANNELS, MEAS_SQL, WIDE_SQL, drill_wide, measurements, samples, table
 
 c = F.col
 M = f"WITH {MEAS_SQL}"
@@ -66,9 +66,8 @@ PROBE_SQL = "probes AS (SELECT o_custkey % 150 AS well_id, o_orderkey AS probe_i
        dbl="at_depth value")
 def q_nearest_depth(spark, sf):
     """For each probe the nearest sample of each channel of its well."""
-    s = measurements(spark, sf).select("well_id", "wits_id", "depth", "value")
-    p = probes(spark, sf).join(s.select("well_id", "wits_id").distinct(), "well_id")
-    n = J.nearest(p, s, ["well_id", "wits_id"], "depth", "value", depth_bucket())
+    s = samples(spark, sf).select("well_id", "wits_id", "depth", "value")
+    n = J.nearest_each(probes(spark, sf), s, ["well_id"], "depth", "value", "wits_id", list(EVENT_CHANNELS.values()), depth_bucket())
     return n.select("well_id", "probe_id", "wits_id", c("near.at").alias("at_depth"), c("near.value").alias("value"))
 
 
