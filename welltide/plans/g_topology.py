@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from welltide.operators import coherence as C
 from welltide.operators import topology as T
-from welltide.operators.alerts import in_intervals
-from welltide.operators.joins import nearest
+from welltide.operators.joins import around_nearest
 from welltide.operators.series import bounded
 from welltide.operators.stats import quality_summary
 from welltide.plans.a_basic import CLOUD_COLS, DEFS_SQL, long_sql, channel_defs, wide_long
@@ -16,7 +15,7 @@ from welltide.plans.f_alerts_zones import ZW, zone_wide
 from welltide.plans.registry import query
 from welltide.operators.projections import to_cloud
 from welltide.sources import dims
-from welltide.sources.tables import MEAS_SQL, WIDE_CHANNELS, WIDE_SQL, drill_wide, measurements, table
+from welltide.sources.tables import MEAS_SQL, WIDE_CHANNELS, WIDE_SQL, drill_wide, samples, table
 
 c = F.col
 BIN_CH = ["gamma_ray", "rop", *[x for x in WIDE_CHANNELS if x not in ("gamma_ray", "rop")]]
@@ -369,13 +368,11 @@ PV = "pv AS (SELECT o_custkey % 150 AS well_id, o_orderkey AS probe_id, 5000.05:
  b AS (SELECT p.*, s.depth AS bd FROM pv p ASOF LEFT JOIN s ON p.well_id = s.well_id AND p.depth >= s.depth), f AS (SELECT b.*, s.depth AS fd FROM b ASOF LEFT JOIN s ON b.well_id = s.well_id AND b.depth <= s.depth),
  n AS (SELECT *, least(coalesce(depth - bd, 1e18), coalesce(fd - depth, 1e18)) AS gap FROM f) SELECT n.well_id, probe_id, wits_id, avg(value) AS value, count(*) AS n FROM n JOIN s ON s.well_id = n.well_id AND abs(s.depth - n.depth) <= gap + 0.5 GROUP BY 1, 2, 3""", dbl="value")
 def q_vector_at(spark, sf):
-    m = measurements(spark, sf).select("well_id", "depth", "value", "wits_id")
+    m = samples(spark, sf).select("well_id", "depth", "value", "wits_id")
     o = table(spark, sf, "orders")
     p = o.select((c("o_custkey") % 150).alias("well_id"), c("o_orderkey").alias("probe_id"), (F.lit(5000.05) + c("o_orderkey") % 1000).alias("depth"))
-    n = nearest(p, m, ["well_id"], "depth", "value", F.floor(c("depth") / F.lit(50.0))).where("distance is not null")
-    iv = n.select("well_id", c("probe_id").alias("interval_id"), (c("depth") - c("distance") - 0.5).alias("a"), (c("depth") + c("distance") + 0.5).alias("b"))
-    j = in_intervals(m, iv, "depth")
-    return j.groupBy("well_id", c("interval_id").alias("probe_id"), "wits_id").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    j = around_nearest(p, m, ["well_id"], "probe_id", "depth", F.floor(c("depth") / F.lit(50.0)), 0.5)
+    return j.groupBy("well_id", "probe_id", "wits_id").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 @query("layered_summary", f"""WITH {FP}, q AS (SELECT well_id, count(*) AS n, avg(0.052 * 10 * depth_tvd) AS hp, avg(480.0 * torque * rpm / (8.5 * 8.5 * rop) + 4.0 * wob * 1000 / (pi() * 8.5 * 8.5)) AS mse FROM zw GROUP BY 1)
