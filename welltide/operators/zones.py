@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from welltide.operators.projections import flow_discrepancy
-from welltide.operators.series import CHUNK, attach, bounded, carry, chunk_of, dense_positions, previous
+from welltide.operators.series import CHUNK, attach, bounded, carry, chunk_of, dense_positions, halo, previous
 from welltide.session import stage
 
 c = F.col
 
 # Window, thresholds (in baseline sigmas, percent, psi/ft) and score weights.
 ZONE_WINDOW, ZONE_STEP, MIN_ZONE_FT = 25, 12, 50.0
+ZONE_CHUNK = 1 << 16
 GAMMA_LOW, GAMMA_HIGH, APWD_HIGH, APWD_LOW, APWD_FLUCT = -1.0, 1.5, 1.5, -1.5, 2.0
 ROP_SPIKE, ROP_DROP, FLOW_LOSS, FLOW_GAIN, CHOKE_RISE, CHOKE_FALL, TORQUE_SPIKE = 2.0, -1.5, -5.0, 5.0, 0.05, -0.05, 2.0
 W_GAMMA, W_APWD, W_ROP, W_FLOW, W_CHOKE, W_TORQUE = 1.0, 1.5, 1.0, 1.5, 1.0, 0.8
@@ -30,22 +31,25 @@ def baseline(wide: DataFrame) -> DataFrame:
 def flag_windows(wide: DataFrame, base: DataFrame, size: int = CHUNK) -> DataFrame:
     """Score and classify overlapping windows of 25 samples, every 12.
 
-    Every sample belongs to at most three windows, so windows are plain groups of at most 25 rows.
+    Samples meet in their (well, chunk) with the 24 next to it and are added up in order along the well, so that slopes that
+    reach a threshold exactly do not hang on how the rows were dealt. Every sample belongs to at most three windows.
     """
     n = wide.groupBy("well_id").agg(F.max("pos").alias("_last"), F.max("pos").alias("last_pos"))
-    d = attach(wide.select("well_id", "pos", "depth_md", "depth_tvd", "gamma_ray", "apwd", "rop", "torque", "choke_pressure", "flow_in", "flow_out"),
-               n, ["well_id"], size=size)
+    part = max(ZONE_WINDOW, min(size, ZONE_CHUNK))
+    d = wide.select("well_id", "pos", "depth_md", "depth_tvd", "gamma_ray", "apwd", "rop", "torque", "choke_pressure", "flow_in", "flow_out")
+    d = halo(d, 0, ZONE_WINDOW - 1, part).drop("_own").repartition("well_id", "_chunk").sortWithinPartitions("well_id", "_chunk", "pos")
     first = F.greatest(F.lit(0), F.ceil((c("pos") - (ZONE_WINDOW - 1)) / F.lit(ZONE_STEP)))
     d = d.withColumn("k", F.explode(F.sequence(first.cast("long"), F.floor(c("pos") / F.lit(ZONE_STEP)).cast("long"))))
-    g = d.groupBy("well_id", "k").agg(
+    d = d.where(chunk_of(c("k") * ZONE_STEP, part) == c("_chunk"))
+    g = d.groupBy("well_id", "_chunk", "k").agg(
         F.min_by("depth_md", "pos").alias("top_md"), F.max_by("depth_md", "pos").alias("bottom_md"),
         F.min_by(F.coalesce("depth_tvd", "depth_md"), "pos").alias("top_tvd"), F.max_by(F.coalesce("depth_tvd", "depth_md"), "pos").alias("bottom_tvd"),
         F.avg("gamma_ray").alias("gamma_avg"), F.avg("apwd").alias("apwd_avg"), F.avg("rop").alias("rop_avg"), F.avg("torque").alias("_tq"),
         F.stddev_pop("apwd").alias("_as"), F.avg(flow_discrepancy(c("flow_in"), c("flow_out"))).alias("flow_disc"),
-        F.coalesce(F.nanvl(F.regr_slope("choke_pressure", "depth_md"), F.lit(0.0)), F.lit(0.0)).alias("choke_trend"), F.max("pos").alias("_end"), F.max("_last").alias("_last"))
-    g = g.where((c("bottom_md") - c("top_md") >= MIN_ZONE_FT) | (c("_end") == c("_last")))
+        F.coalesce(F.nanvl(F.regr_slope("choke_pressure", "depth_md"), F.lit(0.0)), F.lit(0.0)).alias("choke_trend"), F.max("pos").alias("_end")).drop("_chunk")
     g = g.withColumn("pos", c("k") * ZONE_STEP)
-    g = attach(g, base.join(n.select("well_id", "last_pos"), "well_id"), ["well_id"], size=size)
+    g = attach(g, n.join(base, "well_id", "left"), ["well_id"], size=size)
+    g = g.where((c("bottom_md") - c("top_md") >= MIN_ZONE_FT) | (c("_end") == c("_last")))
     sig = lambda v, x: (c(v) - c(f"{x}_mean")) / c(f"{x}_std")
     gs, ap, rs, ts = sig("gamma_avg", "gamma_ray"), sig("apwd_avg", "apwd"), sig("rop_avg", "rop"), sig("_tq", "torque")
     g = g.withColumns({
