@@ -91,3 +91,17 @@ def test_similar_wells_are_all_pairs_above_the_bound(spark):
         want = {(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if max(0.0, 1 - np.sqrt(((h[i] - h[j]) ** 2).sum()) / np.sqrt(2)) >= least}
         assert {(r.well_a, r.well_b) for r in C.similar_wells(df, least).collect()} == want
     assert C.similar_wells(df.limit(0), 0.9).count() == 0 and C.similar_wells(df.limit(1), 0.9).count() == 0
+
+
+def test_similar_wells_of_equal_histograms_are_compared_in_blocks_and_keep_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.dirichlet(np.full(10, 0.3), 12)
+    h = [kinds[i] for i in rng.integers(0, 12, 150)]
+    ids = [None if i == 4 else 7 if i in (7, 8, 9) else i for i in range(150)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, h)], "well_id int, histogram array<double>")
+    for least in (0.95, 0.7, 0.0):
+        want = sorted((min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(150) for j in range(i + 1, 150) if None not in (ids[i], ids[j]) and ids[i] != ids[j]
+                      and max(0.0, 1 - np.sqrt(((h[i] - h[j]) ** 2).sum()) / np.sqrt(2)) >= least)
+        out = C.similar_wells(df, least, members=5, part=3)
+        assert sorted((r.well_a, r.well_b) for r in out.collect()) == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(_i") == 2

@@ -221,27 +221,40 @@ def compare_wells(fp: DataFrame, pairs: DataFrame) -> DataFrame:
                     F.greatest(F.lit(0.0), F.lit(1.0) - dist / F.sqrt(F.lit(2.0))).alias("similarity"))
 
 
-def similar_wells(fp: DataFrame, least: float, pivots: int = 4) -> DataFrame:
+def similar_wells(fp: DataFrame, least: float, pivots: int = 4, members: int = 512, part: int = 64) -> DataFrame:
     """well_a, well_b, similarity of all pairs of wells whose similarity is ``least`` or more, without the table of all pairs.
 
-    Distances to a few pivot wells bound a pair's distance from below (triangle inequality). Wells are put in cells of the distances to the
-    first two pivots, as wide as the largest distance that counts, so a pair lies in neighbouring cells; the other pivots are compared before
-    the histograms are.
+    Wells of equal histograms stand together in blocks of about ``members``, so histograms are compared once per pair of blocks and a pair of
+    wells costs no more than its row. Distances to a few pivot wells bound a pair's distance from below (triangle inequality). Blocks are put
+    in cells of the distances to the first two pivots, as wide as the largest distance that counts, so a pair lies in neighbouring cells; the
+    other pivots are compared before the histograms are. A cell's blocks are dealt in parts, and pairs of parts to all tasks.
     """
     reach = max((1.0 - least) * 2.0 ** 0.5, 1e-9)
     apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     far = fp.orderBy(F.xxhash64("well_id"), "well_id").select("histogram").limit(pivots).collect()
     to = [apart(c("histogram"), F.array(*[F.lit(x) for x in r["histogram"]])) for r in far]
-    w = fp.select("well_id", "histogram", F.array(*to).cast("array<double>").alias("to"))
+    w = fp.where("well_id is not null").select("well_id", "histogram")
+    n = w.groupBy("histogram").agg(F.ceil(F.count(F.lit(1)) / F.lit(members)).alias("_n"))
+    w = w.join(n, "histogram").groupBy("histogram", F.pmod(F.xxhash64("well_id"), "_n").alias("_i")).agg(F.collect_list("well_id").alias("_ids"))
     cell = lambda i: F.coalesce(F.floor(F.get("to", i) / reach), F.lit(0).cast("bigint"))
+    w = w.withColumn("to", F.array(*to).cast("array<double>")).withColumns({"_g": cell(0), "_h": cell(1), "_at": F.xxhash64("histogram", "_i")})
+    w = stage(w, "well-blocks")
+    # Blocks that meet in a cell; cells of few blocks are one part, others have more parts the more blocks they have.
     near = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    a = w.select(c("well_id").alias("well_a"), c("histogram").alias("_ha"), c("to").alias("_ta"), cell(0).alias("_g"), cell(1).alias("_h"))
-    b = w.select(c("well_id").alias("well_b"), c("histogram").alias("_hb"), c("to").alias("_tb"), cell(0).alias("_g"), cell(1).alias("_h"))
-    b = b.withColumn("_x", F.explode(near)).withColumn("_y", F.explode(near)).withColumns({"_g": c("_g") + c("_x"), "_h": c("_h") + c("_y")}).drop("_x", "_y")
+    around = w.withColumn("_x", F.explode(near)).withColumn("_y", F.explode(near)).withColumns({"_g": c("_g") + c("_x"), "_h": c("_h") + c("_y")}).drop("_x", "_y")
+    parts = F.greatest(F.least(F.ceil(F.count(F.lit(1)) / F.lit(part)), F.lit(16)), F.ceil(F.count(F.lit(1)) / F.lit(16 * part)))
+    parts = around.groupBy("_g", "_h").agg(parts.alias("_parts")).join(w.select("_g", "_h").distinct(), ["_g", "_h"])
+    own, every = F.pmod(c("_at"), c("_parts")), F.explode(F.sequence(F.lit(0).cast("bigint"), c("_parts") - 1))
+    side = lambda d, s: d.join(parts, ["_g", "_h"]).select(
+        "_g", "_h", own.alias(f"_p{s}"), F.col("_ids").alias(f"_i{s}"), F.col("histogram").alias(f"_h{s}"), F.col("to").alias(f"_t{s}"),
+        F.struct("_at", "_i", "histogram").alias(f"_k{s}"), every.alias("_pb" if s == "a" else "_pa"))
     possible = F.forall(F.zip_with("_ta", "_tb", lambda x, y: F.abs(x - y)), lambda d: d <= reach * (1 + 1e-9) + 1e-12)
-    j = a.join(b, ["_g", "_h"]).where("well_a < well_b").where(possible)
     similarity = F.greatest(F.lit(0.0), F.lit(1.0) - apart(c("_ha"), c("_hb")) / F.sqrt(F.lit(2.0)))
-    return j.select("well_a", "well_b", similarity.alias("similarity")).where(c("similarity") >= least)
+    j = side(w, "a").join(side(around, "b").hint("shuffle_hash"), ["_g", "_h", "_pa", "_pb"]).where("_ka <= _kb").where(possible)
+    j = j.select("_ia", "_ib", (c("_ka") == c("_kb")).alias("_same"), similarity.alias("similarity")).where(c("similarity") >= least)
+    j = j.select(F.explode("_ia").alias("_a"), "_ib", "_same", "similarity").select("_a", F.explode("_ib").alias("_b"), "_same", "similarity")
+    # Within a block each pair comes in both orders.
+    return j.where("_a <> _b and (not _same or _a < _b)").select(F.least("_a", "_b").alias("well_a"), F.greatest("_a", "_b").alias("well_b"), "similarity")
 
 
 def baseline_contrast(current: DataFrame, baseline: DataFrame, pairs: DataFrame, stride: float = 100.0) -> DataFrame:
